@@ -1,0 +1,6 @@
+"""Deliberately empty.
+
+The modelled study is batch only: it has no event time, watermark or keyed state.
+Incremental work (skip finished comparisons, append finished batches) is a batch
+anti-join and an append; see ``steadymap.plans.resume`` and ``steadymap.sources.sinks``.
+"""
