@@ -1,8 +1,8 @@
 """Pairwise work in square blocks.
 
-Points are hashed into blocks of bounded size and every pair of blocks becomes one
-cogroup of an equi-join, so one task never holds more than two blocks, whatever the
-size of the largest space. Callers emit aggregates or the k best per row.
+Points are hashed into blocks of bounded size and every pair of blocks becomes one group
+of a single shuffle, so one task never holds more than two blocks, whatever the size of
+the largest space. Callers emit aggregates or the k best per row.
 
 A points frame has ``space`` (any groupable key), ``id`` (long), vector columns
 (``array<double>`` or ``struct<idx, val>``) and optional carried columns.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from steadymap.session import parallelism
 
 SMALL_SPACE, SMALL_BLOCK, BLOCK = 8192, 512, 2048
+_ROW, _COL, _BOTH, _EXTRA = 0, 1, 2, 3
 CELLS = 1 << 20  # distances held at once inside a block pair
 
 
@@ -23,16 +24,12 @@ def space_sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("space").agg(F.count("*").alias("n"))
 
 
-def _with_block(points: DataFrame, block_rows: int | None) -> DataFrame:
+def _sizes(points: DataFrame, block_rows: int | None) -> DataFrame:
     if block_rows:
         rows = F.lit(block_rows)
     else:
         rows = F.when(F.col("n") <= SMALL_SPACE, SMALL_BLOCK).otherwise(BLOCK)
-    sizes = space_sizes(points).select(
-        "space", F.ceil(F.col("n") / rows).cast("int").alias("_nb")
-    )
-    hashed = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
-    return points.join(sizes, "space").withColumn("_blk", hashed)
+    return space_sizes(points).select("space", F.ceil(F.col("n") / rows).cast("int").alias("_nb"))
 
 
 def pair_blocks(
@@ -42,50 +39,55 @@ def pair_blocks(
     half: bool = False,
     block_rows: int | None = None,
     per_space: DataFrame | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``fn(space, left, right, extra)`` on every pair of blocks.
 
     ``half`` visits each unordered pair of blocks once. ``per_space`` is a frame with one
     row per space whose columns reach ``fn`` as ``extra``; it travels once per block pair.
+    ``sized_by`` names the frame to count when ``points`` itself is costly to compute.
     """
-    blocked = _with_block(points, block_rows)
-    last = F.col("_nb") - 1
-    rows = blocked.withColumn("_rb", F.col("_blk")).withColumn(
-        "_cb", F.explode(F.sequence(F.col("_blk") if half else F.lit(0), last))
-    )
-    cols = blocked.withColumn("_cb", F.col("_blk")).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.col("_blk") if half else last))
-    )
-    rows, cols = (side.drop("_nb", "_blk") for side in (rows, cols))
-    cols = cols.toDF(*cols.columns)  # fresh column ids: both sides come from one frame
+    sizes = _sizes(points if sized_by is None else sized_by, block_rows)
+    hashed = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
+    blocked = points.join(sizes, "space").withColumn("_blk", hashed)
+    blk, nb = F.col("_blk"), F.col("_nb")
+    spread = F.sequence(blk if half else F.lit(0), nb - 1)
+    as_row = F.transform(spread, lambda c: F.struct(
+        blk.alias("_rb"), c.alias("_cb"), F.when(c == blk, _BOTH).otherwise(_ROW).alias("_role")))
+    spread = F.filter(F.sequence(F.lit(0), blk if half else nb - 1), lambda r: r != blk)
+    as_col = F.transform(spread, lambda r: F.struct(
+        r.alias("_rb"), blk.alias("_cb"), F.lit(_COL).alias("_role")))
+    sent = blocked.select(*points.columns, F.explode(F.concat(as_row, as_col)).alias("_p")).select(
+        *points.columns, "_p.*")
     extras: list[str] = []
     if per_space is not None:
         extras = [c for c in per_space.columns if c != "space"]
-        pairs = rows.select("space", "_rb", "_cb").distinct()
-        rows = rows.unionByName(pairs.join(per_space, "space"), allowMissingColumns=True)
+        first = F.lit(0) if not half else F.col("_r")
+        grid = (
+            sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), nb - 1)))
+            .withColumn("_c", F.explode(F.sequence(first, nb - 1)))
+        )
+        marks = grid.select("space", F.col("_r").alias("_rb"), F.col("_c").alias("_cb"),
+                            F.lit(_EXTRA).alias("_role")).join(per_space, "space")
+        sent = sent.unionByName(marks, allowMissingColumns=True)
 
     keys = ["space", "_rb", "_cb"]
-    parts = max(parallelism(points), 1)
-
-    def run(key, left, right):
-        extra = None
-        if extras:
-            marks = left[left["id"].isna()]
-            left = left[left["id"].notna()]
-            extra = marks.iloc[0] if len(marks) else None
+
+    def run(key, pdf):
+        role = pdf["_role"].to_numpy()
+        marks = pdf[role == _EXTRA]
+        extra = marks.iloc[0] if len(marks) else None
+        left = pdf[(role == _ROW) | (role == _BOTH)]
+        right = pdf[(role == _COL) | (role == _BOTH)]
         if not len(left) or not len(right):
             return pd.DataFrame()
-        left = left.sort_values("id", ignore_index=True)
-        right = right.sort_values("id", ignore_index=True)
-        left["id"] = left["id"].astype("int64")
+        left, right = (
+            side.assign(id=side["id"].astype("int64")).sort_values("id", ignore_index=True)
+            for side in (left, right)
+        )
         return fn(key, left, right, extra)
 
-    return (
-        rows.repartition(parts, *keys)
-        .groupBy(*keys)
-        .cogroup(cols.repartition(parts, *keys).groupBy(*keys))
-        .applyInPandas(run, schema)
-    )
+    return sent.repartition(parallelism(points), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def row_chunks(n_rows: int, n_cols: int):

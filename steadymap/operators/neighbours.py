@@ -78,65 +78,52 @@ def neighbour_ranks(points: DataFrame, k: int = 7, metrics=("euclidean", "euclid
     are counted, in a second pass that moves one number per look-up and block.
     """
     cols = list(zip(vectors, metrics))
-    top = _top_k(points, cols, k, block_rows)
-    label = [F.max("label_j").alias("label_j")] if "label" in points.columns else []
-    known = top.groupBy("space", "i", "j").agg(
-        F.max(F.when(F.col("side") == 0, F.col("r"))).alias("r1"),
-        F.max(F.when(F.col("side") == 1, F.col("r"))).alias("r2"),
-        F.max("d0").alias("d0"), F.max("d1").alias("d1"), *label,
-    )
-    # read by the look-up pass and by the final merge
-    known = known.persist()
-    side = F.when(F.col("r1").isNull(), 0).otherwise(1)
-    wanted = (
-        known.filter(F.col("r1").isNull() | F.col("r2").isNull())
-        .withColumn("side", side)
-        .withColumn("t", F.when(F.col("side") == 0, F.col("d0")).otherwise(F.col("d1")))
-        .groupBy("space", F.col("i").alias("id"))
-        .agg(F.collect_list("j").alias("ask_j"), F.collect_list("side").alias("ask_side"),
-             F.collect_list("t").alias("ask_t"))
+    labelled = "label" in points.columns
+    rank = lambda side: F.max(F.when(F.col("side") == side, F.col("r")))
+    near = _top_k(points, cols, k, block_rows).groupBy("space", "i", "j").agg(
+        F.coalesce(rank(0), F.lit(0)).alias("r1"), F.coalesce(rank(1), F.lit(0)).alias("r2"),
+        F.max("d0").alias("d1"), F.max("d1").alias("d2"),
+        *([F.max("label_j").alias("label_j")] if labelled else []),
     )
-    asked = points.join(wanted, ["space", "id"], "left")
+    fields = ["j", "r1", "r2", "d1", "d2"] + (["label_j"] if labelled else [])
+    asks = near.groupBy("space", F.col("i").alias("id")).agg(
+        *[F.collect_list(c).alias(f"ask_{c}") for c in fields])
+    asked = points.drop("label").join(asks, ["space", "id"])
+    asked_label = near.schema["label_j"].dataType.simpleString() if labelled else None
 
     def run(key, left, right, _):
         col_ids = right["id"].to_numpy()
-        asks = left["ask_j"].notna().to_numpy()
-        if not asks.any():
-            return pd.DataFrame()
-        left = left[asks].reset_index(drop=True)
+        home = key[1] == key[2]
         out = []
         for rows, dists in distances(left, right, cols):
             part = left.iloc[rows]
-            sizes = part["ask_j"].map(len).to_numpy()
-            line = np.repeat(np.arange(len(part)), sizes)
-            ids = np.concatenate(part["ask_j"].to_list())
-            sides = np.concatenate(part["ask_side"].to_list())
-            targets = np.concatenate(part["ask_t"].to_list())
             row_ids = part["id"].to_numpy()
-            for s, dist in enumerate(dists):
-                mine = np.flatnonzero(sides == s)
-                if not len(mine):
-                    continue
-                full = dist.matrix()
-                for lo in range(0, len(mine), max(1, len(part))):
-                    pick = mine[lo : lo + max(1, len(part))]
-                    n = count_closer(dist, full, row_ids, col_ids, line[pick], ids[pick],
-                                     targets[pick])
-                    out.append(pd.DataFrame({"space": key[0], "i": row_ids[line[pick]],
-                                             "j": ids[pick], "side": s, "n": n}))
-        return pd.concat(out) if out else pd.DataFrame()
+            line = np.repeat(np.arange(len(part)), part["ask_j"].map(len).to_numpy())
+            ask = {c: np.concatenate(part[f"ask_{c}"].to_list()) for c in fields}
+            closer = []
+            for s, dist in enumerate(dists, start=1):
+                n = np.zeros(len(line), dtype="int64")
+                open_ = np.flatnonzero(ask[f"r{s}"] == 0)
+                full = dist.matrix() if len(open_) else None
+                for lo in range(0, len(open_), len(part)):
+                    pick = open_[lo : lo + len(part)]
+                    n[pick] = count_closer(dist, full, row_ids, col_ids, line[pick],
+                                           ask["j"][pick], ask[f"d{s}"][pick])
+                closer.append(n)
+            # known ranks leave once, from the diagonal block of the point
+            frame = {"space": key[0], "i": row_ids[line], "j": ask["j"]}
+            for s, n in enumerate(closer, start=1):
+                known = ask[f"r{s}"] > 0
+                frame[f"r{s}"] = np.where(known, ask[f"r{s}"] if home else 0, n + int(home))
+            if labelled:
+                frame["label_j"] = ask["label_j"]
+            out.append(pd.DataFrame(frame))
+        return pd.concat(out)
 
     schema = (f"space {points.schema['space'].dataType.simpleString()}, "
-              "i long, j long, side int, n long")
-    counted = pair_blocks(asked, run, schema, block_rows=block_rows)
-    counted = counted.groupBy("space", "i", "j").agg(
-        (F.sum(F.when(F.col("side") == 0, F.col("n"))) + 1).alias("q1"),
-        (F.sum(F.when(F.col("side") == 1, F.col("n"))) + 1).alias("q2"),
-    )
-    merged = known.join(counted, ["space", "i", "j"], "left")
-    return merged.select(
-        "space", "i", "j",
-        F.coalesce("r1", "q1").cast("long").alias("r1"),
-        F.coalesce("r2", "q2").cast("long").alias("r2"),
-        *(["label_j"] if label else []),
-    )
+              "i long, j long, r1 long, r2 long")
+    if labelled:
+        schema += f", label_j {asked_label}"
+    label = [F.max("label_j").alias("label_j")] if labelled else []
+    return pair_blocks(asked, run, schema, block_rows=block_rows, sized_by=points).groupBy(
+        "space", "i", "j").agg(F.sum("r1").alias("r1"), F.sum("r2").alias("r2"), *label)

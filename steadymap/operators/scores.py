@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from steadymap.operators import classes, shape
 from steadymap.operators.local import local_measures, neighborhood_hit
 from steadymap.operators.pairs import pair_moments, pair_spearman
+from steadymap.session import share
 
 STABILITY_COLUMNS = [
     "spearman_correlation", "pearson_correlation", "cluster_ordering", "rotation",
@@ -18,7 +19,8 @@ STABILITY_COLUMNS = [
 
 
 def _merge(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, "space", "left"), parts)
+    """Join the measures; each part has one row per space and is planned on its own."""
+    return reduce(lambda a, b: a.join(b, "space", "left"), map(share, parts))
 
 
 def as_points(pairs: DataFrame) -> DataFrame:

@@ -47,3 +47,18 @@ def parallelism(df: DataFrame) -> int:
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
+
+
+_shared: list[DataFrame] = []
+
+
+def share(df: DataFrame) -> DataFrame:
+    """Keep a small result that one query reads more than once; lost blocks are recomputed."""
+    _shared.append(df.persist())
+    return df
+
+
+def release_shared() -> None:
+    """Drop everything ``share`` kept; call it once the results have been consumed."""
+    while _shared:
+        _shared.pop().unpersist()
