@@ -18,6 +18,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,3 +63,12 @@ def release_shared() -> None:
     """Drop everything ``share`` kept; call it once the results have been consumed."""
     while _shared:
         _shared.pop().unpersist()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over the cores when its files give fewer tasks than there are cores.
+
+    Scans of many files already have enough tasks and are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
