@@ -31,6 +31,10 @@ class SparseBlock:
         self.idx = [np.asarray(get(r, "idx"), dtype="int64") for r in rows]
         self.val = [np.asarray(get(r, "val"), dtype="float64") for r in rows]
 
+    @property
+    def integral(self):
+        return all((v == np.floor(v)).all() for v in self.val)
+
     def __len__(self):
         return len(self.idx)
 
@@ -97,6 +101,8 @@ class BlockDistance:
             # squared-distance error of a product is a small multiple of eps * |a| |b|
             top = max(self.na.max(initial=0.0), self.nb.max(initial=0.0))
             self.tol = 1e-6 * np.sqrt(top) if metric == "euclidean" else 1e-9
+            if self.sparse and a.integral and b.integral:
+                self.tol = 0.0  # products of counts are exact
 
     def matrix(self):
         if not self.wide:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from steadymap.operators import classes, shape
-from steadymap.operators.local import local_measures, neighborhood_hit
+from steadymap.operators.local import label_preservation, local_measures, neighborhood_hit
 from steadymap.operators.pairs import pair_moments, pair_spearman
 from steadymap.session import share
 
@@ -121,3 +121,74 @@ def backfill(results: DataFrame, recomputed: DataFrame, column: str, keys: list[
         results.join(fresh, keys, "left")
         .withColumn(column, F.coalesce(old, F.col("_fresh"), F.lit(missing)))
         .drop("_fresh"))
+
+
+def sparse_class_sums(points: DataFrame, vector: str) -> DataFrame:
+    """Centroids of sparse vectors: (space, label, idx, c) with c the class mean."""
+    sizes = points.groupBy("space", "label").agg(F.count("*").alias("size"))
+    long = points.select("space", "label", F.explode(
+        F.arrays_zip(F.col(f"{vector}.idx").alias("idx"), F.col(f"{vector}.val").alias("val"))).alias("e"))
+    sums = long.groupBy("space", "label", "e.idx").agg(F.sum("e.val").alias("s"))
+    return sums.join(sizes, ["space", "label"]).select(
+        "space", "label", "idx", (F.col("s") / F.col("size")).alias("c"))
+
+
+def sparse_distance_consistency(points: DataFrame, vector: str) -> DataFrame:
+    """Distance consistency in a sparse space: |x|² + |c|² - 2·x·c per point and class.
+
+    The products come from an equi-join on the term; classes sharing no term with a point
+    keep a product of zero. The row count is points x classes.
+    """
+    cents = share(sparse_class_sums(points, vector))
+    norms = cents.groupBy("space", "label").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    per_space = norms.groupBy("space").agg(
+        F.collect_list(F.struct(F.col("label").alias("other"), "cc")).alias("classes"))
+    length = F.aggregate(f"{vector}.val", F.lit(0.0), lambda a, x: a + x * x)
+    base = points.select("space", "id", "label", length.alias("xx")).join(per_space, "space").select(
+        "space", "id", "label", "xx", F.explode("classes").alias("k")).select(
+        "space", "id", "label", "xx", "k.other", "k.cc")
+    long = points.select("space", "id", F.explode(
+        F.arrays_zip(F.col(f"{vector}.idx").alias("idx"), F.col(f"{vector}.val").alias("val"))).alias("e")
+    ).select("space", "id", "e.idx", "e.val")
+    dots = long.join(cents.withColumnRenamed("label", "other"), ["space", "idx"]).groupBy(
+        "space", "id", "other").agg(F.sum(F.col("val") * F.col("c")).alias("xc"))
+    gap = F.round(F.col("xx") + F.col("cc") - 2 * F.coalesce("xc", F.lit(0.0)), 9)
+    nearest = base.join(dots, ["space", "id", "other"], "left").groupBy("space", "id").agg(
+        F.min(F.struct(gap.alias("g"), "other")).alias("best"), F.first("label").alias("label"))
+    return nearest.groupBy("space").agg(
+        F.avg((F.col("label") == F.col("best.other")).cast("double")).alias("distance_consistency"))
+
+
+def sparse_cluster_ordering(points: DataFrame) -> DataFrame:
+    sides = []
+    for n, vector in ((1, "v1"), (2, "v2")):
+        packed = F.array_sort(F.collect_list(F.struct("idx", "c")))
+        sides.append(sparse_class_sums(points, vector).groupBy("space", "label").agg(
+            packed.alias("l")).select(
+            "space", F.col("label").cast("long").alias("id"),
+            F.struct(F.col("l.idx").alias("idx"), F.col("l.c").alias("val")).alias(f"v{n}")))
+    cents = sides[0].join(sides[1], ["space", "id"])
+    return pair_spearman(cents).withColumnRenamed("spearman", "cluster_ordering")
+
+
+def corpus_similarity(points: DataFrame, k: int = 7) -> DataFrame:
+    """Stability row of two sparse spaces of the same documents (v1, v2: struct<idx, val>).
+
+    Distances are cosine; label preservation, silhouette and the class measures stay
+    euclidean; there is no rotation.
+    """
+    points = share(points)
+    cosine = ("cosine", "cosine")
+    both = classes.silhouette(points, (("v1", "euclidean"), ("v2", "euclidean")), ("s1", "s2"))
+    out = _merge([
+        pair_moments(points, cosine).select("space", F.col("pearson").alias("pearson_correlation")),
+        pair_spearman(points, cosine).select("space", F.col("spearman").alias("spearman_correlation")),
+        sparse_cluster_ordering(points),
+        absolute_difference(*(sparse_distance_consistency(points, v) for v in ("v1", "v2")),
+                            "distance_consistency"),
+        both.select("space", F.abs(F.col("s1") - F.col("s2")).alias("silhouette_coefficient")),
+        local_measures(points.drop("label"), k, cosine),
+        label_preservation(points, k),
+    ])
+    out = out.withColumn("rotation", F.lit(None).cast("double"))
+    return out.select("space", *STABILITY_COLUMNS)
