@@ -10,7 +10,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import LOCAL_CTE, MRRE_NORM, RANK, rounded, source_space, table
 from steadymap.catalog.text import BOW_CTE, corpus, counts, token_lists
 from steadymap.operators import perturb, scores, text, vectors
-from steadymap.session import share
+from steadymap.session import materialize
 
 _HASH = "('0x' || substr(md5({0}), 1, 12))::bigint"
 
@@ -95,17 +95,17 @@ def fingerprint(spark, sf):
 
 def jittered_spaces(spark, sf, amounts):
     """One space per jitter amount: v1 the counts, v2 the jittered counts, label the source."""
-    docs = share(token_lists(spark, sf, "source"))
-    c = share(vectors.bow(docs))
-    terms = share(vectors.dictionary(c))
+    docs = materialize(token_lists(spark, sf, "source"))
+    c = materialize(vectors.bow(docs))
+    terms = materialize(vectors.dictionary(c))
     labels = docs.join(text.label_codes(docs), "category").select("doc_id", F.col("y").alias("label"))
-    plain = share(vectors.sparse_rows(c, terms).withColumnRenamed("v", "v1"))
+    plain = materialize(vectors.sparse_rows(c, terms).withColumnRenamed("v", "v1"))
     spaces = []
     for a in amounts:
         noisy = vectors.sparse_rows(perturb.count_jitter(c, a), terms).withColumnRenamed("v", "v2")
         spaces.append(plain.join(noisy, "doc_id").join(labels, "doc_id").select(
             F.lit(f"jitter_{a}").alias("space"), F.col("doc_id").alias("id"), "label", "v1", "v2"))
-    return reduce(lambda x, y: x.unionByName(y), spaces)
+    return materialize(reduce(lambda x, y: x.unionByName(y), spaces))
 
 
 _SIM_SQL = f"""with {BOW_CTE},

@@ -8,7 +8,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import rounded, table
 from steadymap.functions.words import STOP_WORDS, accent_table
 from steadymap.operators import text, vectors
-from steadymap.session import share, spread
+from steadymap.session import materialize, share, spread
 
 _MARKED, _PLAIN = accent_table()
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
@@ -35,7 +35,7 @@ def token_lists(spark, sf, category="lang"):
 
 
 def counts(spark, sf):
-    return share(vectors.bow(token_lists(spark, sf)))
+    return materialize(vectors.bow(token_lists(spark, sf)))
 
 
 def document_count(bow):
@@ -63,7 +63,7 @@ lg as (select doc_id, unnest(tokens) form, generate_subscripts(tokens, 1) pos fr
 select doc_id, count(*) filter (lemma is not null)::bigint changed,
   md5(string_agg(coalesce(lemma, lg.form), ' ' order by pos)) digest from lg left join lem on lem.form=lg.form group by doc_id""")
 def lemmatize(spark, sf):
-    docs = share(token_lists(spark, sf))
+    docs = materialize(token_lists(spark, sf))
     terms = share(docs.select(F.explode("tokens").alias("form")).distinct())
     lemmas = terms.join(terms.select(F.concat("form", F.lit("s")).alias("form"),
                                      F.col("form").alias("lemma")), "form")
@@ -115,8 +115,8 @@ tw as (select topic, term, weight, row_number() over (partition by topic order b
 
 
 def topic_words(spark, sf, n):
-    docs = share(token_lists(spark, sf, "source"))
-    c = share(vectors.bow(docs))
+    docs = materialize(token_lists(spark, sf, "source"))
+    c = materialize(vectors.bow(docs))
     topics = docs.select("doc_id", F.col("category").alias("topic"))
     weights = vectors.class_tfidf(c, topics, document_count(c))
     return vectors.top_words(weights, n)
@@ -135,8 +135,8 @@ lw as (select topic, term, row_number() over (partition by topic order by round(
 select rank::int as rank, max(term) filter (topic='de') de, max(term) filter (topic='en') en,
   max(term) filter (topic='es') es, max(term) filter (topic='fr') fr from lw where rank <= 10 group by rank""")
 def topic_word_pivot(spark, sf):
-    docs = share(token_lists(spark, sf))
-    c = share(vectors.bow(docs))
+    docs = materialize(token_lists(spark, sf))
+    c = materialize(vectors.bow(docs))
     topics = docs.select("doc_id", F.col("category").alias("topic"))
     weights = vectors.class_tfidf(c, topics, document_count(c))
     return vectors.word_table(vectors.top_words(weights, 10), ["de", "en", "es", "fr"])
@@ -211,7 +211,7 @@ lg as (select doc_id, unnest(tokens) term, generate_subscripts(tokens, 1) pos fr
 select doc_id, md5(string_agg(coalesce(ix.term, '?'), ' ' order by pos)) digest
 from lg left join ix on ix.term=lg.term group by doc_id""")
 def decode_sequences(spark, sf):
-    docs = share(token_lists(spark, sf))
+    docs = materialize(token_lists(spark, sf))
     index = share(text.word_index(docs, 2))
     decoded = text.decode(text.encode(docs, index), index)
     return decoded.select("doc_id", F.md5("text").alias("digest"))

@@ -15,56 +15,57 @@ NARROW = 4
 TERM_CHUNK = 4096
 
 
-def stack(column) -> "np.ndarray | SparseBlock":
-    """Vectors of a pandas column as a dense matrix, or sparse rows for (idx, val) structs."""
-    first = column.iloc[0]
-    if isinstance(first, dict) or hasattr(first, "idx"):
-        return SparseBlock(list(column))
-    return np.stack(column.to_numpy()).astype("float64", copy=False)
+def stack(frame, column: str) -> "np.ndarray | SparseBlock":
+    """Vectors of a pandas column as a dense matrix, or its two sparse parts as sparse rows."""
+    if column in frame:
+        return np.stack(frame[column].to_numpy()).astype("float64", copy=False)
+    return SparseBlock(*(list(frame[f"{column}__{part}"]) for part in ("idx", "val")))
 
 
 class SparseBlock:
-    """Rows of (sorted term ids, weights)."""
+    """Rows of (sorted term ids, weights), also kept as one flat list of entries."""
 
-    def __init__(self, rows):
-        get = (lambda r, k: r[k]) if isinstance(rows[0], dict) else getattr
-        self.idx = [np.asarray(get(r, "idx"), dtype="int64") for r in rows]
-        self.val = [np.asarray(get(r, "val"), dtype="float64") for r in rows]
+    def __init__(self, idx, val):
+        self.idx, self.val = idx, val
+        sizes = [len(i) for i in idx]
+        self.row = np.repeat(np.arange(len(idx)), sizes)
+        self.flat_idx = np.concatenate(idx).astype("int64") if idx else np.empty(0, "int64")
+        self.flat_val = np.concatenate(val).astype("float64") if val else np.empty(0)
 
     @property
     def integral(self):
-        return all((v == np.floor(v)).all() for v in self.val)
+        return bool((self.flat_val == np.floor(self.flat_val)).all())
 
     def __len__(self):
         return len(self.idx)
 
     def sq_norms(self):
-        return np.array([float((v * v).sum()) for v in self.val])
+        return np.bincount(self.row, self.flat_val * self.flat_val, minlength=len(self))
 
     def slice(self, lo, hi):
-        part = object.__new__(SparseBlock)
-        part.idx, part.val = self.idx[lo:hi], self.val[lo:hi]
-        return part
-
-    def dense(self, terms):
-        """Columns ``terms`` (sorted) as a dense matrix."""
-        out = np.zeros((len(self), len(terms)))
-        for r, (idx, val) in enumerate(zip(self.idx, self.val)):
-            pos = np.searchsorted(terms, idx)
-            pos[pos == len(terms)] = 0
-            hit = terms[pos] == idx
-            out[r, pos[hit]] = val[hit]
-        return out
+        return SparseBlock(self.idx[lo:hi], self.val[lo:hi])
+
+    def entries(self, terms):
+        """(row, position in ``terms``, weight) of the entries whose term is listed."""
+        pos = np.searchsorted(terms, self.flat_idx)
+        pos[pos == len(terms)] = 0
+        hit = terms[pos] == self.flat_idx if len(terms) else np.zeros(len(pos), dtype=bool)
+        return self.row[hit], pos[hit], self.flat_val[hit]
 
     def dot(self, other):
         """All inner products; memory is bounded by a chunk of shared terms."""
-        mine = np.unique(np.concatenate(self.idx)) if len(self) else np.empty(0, "int64")
-        theirs = np.unique(np.concatenate(other.idx)) if len(other) else np.empty(0, "int64")
-        shared = np.intersect1d(mine, theirs, assume_unique=True)
+        shared = np.intersect1d(self.flat_idx, other.flat_idx)
         out = np.zeros((len(self), len(other)))
+        sides = [(len(s), *s.entries(shared)) for s in (self, other)]
         for lo in range(0, len(shared), TERM_CHUNK):
-            terms = shared[lo : lo + TERM_CHUNK]
-            out += self.dense(terms) @ other.dense(terms).T
+            width = min(TERM_CHUNK, len(shared) - lo)
+            parts = []
+            for n, row, pos, val in sides:
+                dense = np.zeros((n, width))
+                now = (pos >= lo) & (pos < lo + width)
+                dense[row[now], pos[now] - lo] = val[now]
+                parts.append(dense)
+            out += parts[0] @ parts[1].T
         return out
 
     def pair_dots(self, other, rows, cols):

@@ -32,6 +32,17 @@ def _sizes(points: DataFrame, block_rows: int | None) -> DataFrame:
     return space_sizes(points).select("space", F.ceil(F.col("n") / rows).cast("int").alias("_nb"))
 
 
+def flat_vectors(points: DataFrame) -> DataFrame:
+    """Sparse vectors travel as two array columns, which reach numpy without row objects."""
+    out = []
+    for f in points.schema.fields:
+        if f.dataType.typeName() == "struct" and f.dataType.names == ["idx", "val"]:
+            out += [F.col(f"{f.name}.{part}").alias(f"{f.name}__{part}") for part in ("idx", "val")]
+        else:
+            out.append(F.col(f.name))
+    return points.select(*out)
+
+
 def pair_blocks(
     points: DataFrame,
     fn,
@@ -47,6 +58,7 @@ def pair_blocks(
     row per space whose columns reach ``fn`` as ``extra``; it travels once per block pair.
     ``sized_by`` names the frame to count when ``points`` itself is costly to compute.
     """
+    points = flat_vectors(points)
     sizes = _sizes(points if sized_by is None else sized_by, block_rows)
     hashed = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
     blocked = points.join(sizes, "space").withColumn("_blk", hashed)

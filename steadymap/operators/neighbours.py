@@ -16,7 +16,7 @@ def _part(block, rows: slice):
 
 def distances(left, right, vectors):
     """Yield (row slice, [BlockDistance per vector column]) over row chunks of a block pair."""
-    sides = [(stack(left[c]), stack(right[c]), m) for c, m in vectors]
+    sides = [(stack(left, c), stack(right, c), m) for c, m in vectors]
     for rows in row_chunks(len(left), len(right)):
         yield rows, [BlockDistance(_part(a, rows), b, m) for a, b, m in sides]
 

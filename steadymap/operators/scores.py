@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from steadymap.operators import classes, shape
 from steadymap.operators.local import label_preservation, local_measures, neighborhood_hit
 from steadymap.operators.pairs import pair_moments, pair_spearman
-from steadymap.session import share
+from steadymap.session import materialize, share
 
 STABILITY_COLUMNS = [
     "spearman_correlation", "pearson_correlation", "cluster_ordering", "rotation",
@@ -139,7 +139,7 @@ def sparse_distance_consistency(points: DataFrame, vector: str) -> DataFrame:
     The products come from an equi-join on the term; classes sharing no term with a point
     keep a product of zero. The row count is points x classes.
     """
-    cents = share(sparse_class_sums(points, vector))
+    cents = materialize(sparse_class_sums(points, vector))
     norms = cents.groupBy("space", "label").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
     per_space = norms.groupBy("space").agg(
         F.collect_list(F.struct(F.col("label").alias("other"), "cc")).alias("classes"))
@@ -167,7 +167,7 @@ def sparse_cluster_ordering(points: DataFrame) -> DataFrame:
             packed.alias("l")).select(
             "space", F.col("label").cast("long").alias("id"),
             F.struct(F.col("l.idx").alias("idx"), F.col("l.c").alias("val")).alias(f"v{n}")))
-    cents = sides[0].join(sides[1], ["space", "id"])
+    cents = materialize(sides[0].join(sides[1], ["space", "id"]))
     return pair_spearman(cents).withColumnRenamed("spearman", "cluster_ordering")
 
 
@@ -177,7 +177,6 @@ def corpus_similarity(points: DataFrame, k: int = 7) -> DataFrame:
     Distances are cosine; label preservation, silhouette and the class measures stay
     euclidean; there is no rotation.
     """
-    points = share(points)
     cosine = ("cosine", "cosine")
     both = classes.silhouette(points, (("v1", "euclidean"), ("v2", "euclidean")), ("s1", "s2"))
     out = _merge([

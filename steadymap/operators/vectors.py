@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steadymap.operators.order import number_rows
-from steadymap.session import share
+from steadymap.session import materialize
 
 
 def bow(token_lists: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def bow(token_lists: DataFrame) -> DataFrame:
 
 def dictionary(counts: DataFrame) -> DataFrame:
     """(term, term_id, df, cf): ids by first document, then alphabetically."""
-    terms = share(counts.groupBy("term").agg(
+    terms = materialize(counts.groupBy("term").agg(
         F.min("doc_id").alias("first_doc"), F.count("*").alias("df"), F.sum("tf").alias("cf")))
     return number_rows(terms, F.col("first_doc"), ["term"], "term_id").select(
         "term", "term_id", "df", "cf")

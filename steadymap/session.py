@@ -1,8 +1,9 @@
-"""Session helpers: builder for tests and benches, and lineage cutting on shared storage."""
+"""Session helpers: builder for tests and benches, and intermediate tables on shared storage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +26,36 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``.
+_local_folder: tempfile.TemporaryDirectory | None = None
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master, where driver and executors share a disk, falls back to a temporary folder.
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors share a disk, falls back to a temporary
+    folder that disappears with the process.
+    """
+    global _local_folder
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+        "spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.TemporaryDirectory(prefix="steadymap-")
+    return _local_folder.name
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage of inputs that several jobs read: executors may be lost without
+    recomputing them, plans stay small and columns are still pruned.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="steadymap-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{work_folder(df.sparkSession)}/steadymap-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def parallelism(df: DataFrame) -> int:
