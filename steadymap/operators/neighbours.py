@@ -30,11 +30,13 @@ def _candidates(points, vectors, k, block_rows):
         out = []
         for rows, dists in distances(left, right, vectors):
             row_ids = left["id"].to_numpy()[rows]
+            full = [dist.matrix() for dist in dists]
             for side, dist in enumerate(dists):
-                r, c, d = nearest(dist, dist.matrix(), row_ids, col_ids, k)
+                r, c, d = nearest(dist, full[side], row_ids, col_ids, k)
                 part = {"space": key[0], "i": row_ids[r], "side": side, "j": col_ids[c]}
                 for other, o in enumerate(dists):
-                    part[f"d{other}"] = d if other == side else o.exact(r, c)
+                    there = o.exact if o.tol else lambda r, c, m=full[other]: m[r, c]
+                    part[f"d{other}"] = d if other == side else there(r, c)
                 if labelled:
                     part["label_j"] = right["label"].to_numpy()[c]
                 out.append(pd.DataFrame(part))
