@@ -8,6 +8,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import rounded, table
 from steadymap.functions import naming
 from steadymap.plans import results
+from steadymap.session import materialize
 
 _METRICS = ["spearman_correlation", "pearson_correlation", "cluster_ordering", "distance_consistency",
             "trustworthiness", "continuity", "local_continuity", "mrre_missing", "mrre_false",
@@ -61,7 +62,7 @@ _RAW = "raw as (" + RAW_SQL.format(text="varchar") + ")"
 
 def raw_results(spark, sf):
     sql = RAW_SQL.format(text="string").replace("from lineitem", "from {lineitem}")
-    return spark.sql(sql, lineitem=table(spark, sf, "lineitem"))
+    return materialize(spark.sql(sql, lineitem=table(spark, sf, "lineitem")))
 
 
 def _valid(f):
@@ -84,8 +85,9 @@ def _clean_cte(source, keys):
     return f"""
 rel as (select * replace ({_rel('file_name_1')} as file_name_1, {_rel('file_name_2')} as file_name_2) from {source}),
 ded as (select * exclude (k) from (select *, row_number() over (partition by {keys} order by pos) k from rel) where k = 1),
-mir as (select * from ded x where not exists (select 1 from ded y where y.dataset = x.dataset
-   and y.file_name_1 = x.file_name_2 and y.file_name_2 = x.file_name_1 and y.pos >= x.pos))"""
+opp as (select dataset od, file_name_1 o1, file_name_2 o2, max(pos) mp from ded group by 1, 2, 3),
+mir as (select * exclude (od, o1, o2, mp) from ded left join opp on od = dataset and o1 = file_name_2 and o2 = file_name_1
+   where mp is null or mp < pos)"""
 
 
 _HYPER = f"""{_RAW}, val as (select * from raw where {_valid('file_name_1')}),
@@ -130,10 +132,10 @@ def clean_jitter(spark, sf):
         "pos", "dataset", "config", "TM", "jitter_1", "jitter_2", "file_name_1", "file_name_2")
 
 
-@query("mirror_dedupe", f"""with {_RAW}, {_clean_cte('raw', 'dataset, file_name_1, file_name_2')}
+@query("mirror_dedupe", f"""with {_RAW}, hd as (select * from raw where file_name_1 <> 'file_name_1'), {_clean_cte('hd', 'dataset, file_name_1, file_name_2')}
 select pos, file_name_1, file_name_2 from mir""")
 def mirror_dedupe(spark, sf):
-    rows = results.relative_names(raw_results(spark, sf))
+    rows = results.relative_names(results.drop_headers(raw_results(spark, sf)))
     rows = results.keep_first(rows, ["dataset", "file_name_1", "file_name_2"])
     return results.drop_mirrored(rows).select("pos", "file_name_1", "file_name_2")
 

@@ -46,8 +46,10 @@ def _rows(columns, rows):
 
 def compare(spark, con, fn, sql: str, sf_dir: str) -> str | None:
     """None when equal, otherwise the first difference."""
+    start = time.time()
     df = fn(spark, sf_dir)
     sc, mine = _rows(df.columns, df.collect())
+    compare.spark_time = time.time() - start
     cur = con.execute(sql)
     dc, theirs = _rows([d[0] for d in cur.description], cur.fetchall())
     if sc != dc:
@@ -81,5 +83,5 @@ if __name__ == "__main__":
             diff = f"ERROR {type(e).__name__}: {str(e)[:600]}"
         release_shared()
         bad += bool(diff) and not diff.startswith("rows only")
-        print(f"{name:28s} {time.time() - start:6.2f}s {'ok' if diff is None else diff}", flush=True)
+        print(f"{name:28s} {getattr(compare, 'spark_time', 0):6.2f}s of {time.time() - start:6.2f}s {'ok' if diff is None else diff}", flush=True)
     print("bad:", bad, "of", len(names))
