@@ -8,7 +8,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import rounded, table
 from steadymap.functions import naming
 from steadymap.plans import results
-from steadymap.session import materialize
+from steadymap.session import materialize, spread
 
 _METRICS = ["spearman_correlation", "pearson_correlation", "cluster_ordering", "distance_consistency",
             "trustworthiness", "continuity", "local_continuity", "mrre_missing", "mrre_false",
@@ -62,7 +62,7 @@ _RAW = "raw as (" + RAW_SQL.format(text="varchar") + ")"
 
 def raw_results(spark, sf):
     sql = RAW_SQL.format(text="string").replace("from lineitem", "from {lineitem}")
-    return materialize(spark.sql(sql, lineitem=table(spark, sf, "lineitem")))
+    return materialize(spark.sql(sql, lineitem=spread(table(spark, sf, "lineitem"), "l_orderkey")))
 
 
 def _valid(f):

@@ -39,10 +39,15 @@ MIN_TOKEN, MAX_TOKEN = 2, 15
 
 def tokens(text: Column) -> Column:
     """Lower-cased, accent-free letter runs of 2 to 15 characters, in order."""
-    marked, plain = accent_table()
-    clean = F.regexp_replace(F.translate(F.lower(text), marked, plain), r"\p{Mn}+", "")
-    words = F.regexp_extract_all(clean, F.lit(r"[\p{L}_]+"), F.lit(0))
-    return F.filter(words, lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN))
+    marked, bare = accent_table()
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Mn}_]+"), F.lit(0))
+
+    def plain(t: Column) -> Column:
+        # most tokens are ASCII, which a length comparison tells
+        stripped = F.regexp_replace(F.translate(t, marked, bare), r"\p{Mn}+", "")
+        return F.when(F.octet_length(t) == F.length(t), t).otherwise(stripped)
+
+    return F.filter(F.transform(words, plain), lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN))
 
 
 def without(words: Column, stop: list[str]) -> Column:
