@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steadymap.llm import hmm
+from steadymap.llm import hmm, simhash
 from steadymap.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score,)}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text, linked at two or fewer differing bits."""
+    return simhash.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op3_simhash)}
 #: None of these results can be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = {}
