@@ -170,7 +170,8 @@ def links(fps: DataFrame, settings: Settings, rows: int | None = None) -> DataFr
     own = spread.mapInArrow(at_home, "anchor long, fp long")
     copies = spread.mapInArrow(copied, "anchor long, fp long")
     near = F.expr(f"a.fp != b.fp and bit_count(a.fp ^ b.fp) <= {settings.threshold}")
-    return own.alias("a").join(copies.alias("b"), (F.col("a.anchor") == F.col("b.anchor")) & near).select(
+    # copies are many times the input, which the optimizer cannot see: never broadcast them
+    return own.hint("merge").alias("a").join(copies.hint("merge").alias("b"), (F.col("a.anchor") == F.col("b.anchor")) & near).select(
         F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
