@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steadymap.llm import hmm, multi_index, nn_descent, quality, simhash
+from steadymap.llm import hmm, mixing, multi_index, nn_descent, quality, simhash
 from steadymap.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors, within their label, at cosine 0.98."""
     return nn_descent.groups(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -37,6 +43,6 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op3_simhash, op4_quality, op9_nn_descent, op10_multi_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op3_simhash, op4_quality, op6_mixing, op9_nn_descent, op10_multi_index)}
 #: None of these results can be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = {}
