@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from steadymap.llm import hmm, mixing, multi_index, nn_descent, quality, simhash
+from steadymap.llm import hmm, langid, mixing, multi_index, nn_descent, pii, quality, simhash
 from steadymap.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,12 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows outside fold 0."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every text, linked at two or fewer differing bits."""
     return simhash.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -27,6 +34,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text; the counts and the hash are those of the base expressions."""
+    found = pii.find(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", *[pii.counted(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
@@ -43,6 +57,6 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op3_simhash, op4_quality, op6_mixing, op9_nn_descent, op10_multi_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op9_nn_descent, op10_multi_index)}
 #: None of these results can be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = {}
