@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymap.llm import hmm, langid, mixing, multi_index, nn_descent, pii, quality, simhash
+from steadymap.llm import chunk_bpe, hmm, langid, mixing, multi_index, nn_descent, pii, quality, rans, simhash
 from steadymap.llm.common import read
 
+BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden Markov log10 probability of every text beside its unigram base."""
     return hmm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -47,6 +55,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token files."""
+    return rans.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(BYTES))
+
+
+def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
+    return chunk_bpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(WORDS))
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors, within their label, at cosine 0.98."""
     return nn_descent.groups(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -57,6 +75,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op9_nn_descent, op10_multi_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op7_rans, op8_chunk_bpe, op9_nn_descent, op10_multi_index)}
 #: None of these results can be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = {}
