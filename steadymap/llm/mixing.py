@@ -154,3 +154,13 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     again = stage.again("targets", goals)
     return done.alias("r").join(again.alias("g"), F.expr("r.source <=> g.source")).select(
         "doc_id", "r.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, 0 to ``most`` times, with all its columns."""
+    key = F.xxhash64("doc_id", "text")
+    copies = mix(docs.select(key.alias("doc_id"), "text", "source"), settings).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    # equal rows share a key and were counted together
+    once = docs.withColumn("_row", key).dropDuplicates(["_row"])
+    taken = once.join(copies.where("_copies > 0"), F.expr("_row = _key"))
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -175,3 +175,13 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+
+
+def redact(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with every span in its texts replaced by ``<kind>``; all rows and columns stay."""
+    found = find(docs, settings).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    text = F.col("text").cast("string")
+    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(text, F.lit("")))).join(
+        found.dropDuplicates(["_id", "_key"]), F.expr("cast(doc_id as long) <=> _id and _text_key = _key"), "left")
+    clean = F.when(F.col("_spans").isNotNull(), redacted(text, F.col("_spans"))).otherwise(text)
+    return joined.withColumn("text", clean).select(*docs.columns)

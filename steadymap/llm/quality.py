@@ -153,6 +153,33 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
     return {c: (v[0], v[1 : 1 + DIM], v[1 + DIM :].reshape(DIM, DIM)) for c, v in out.items()}
 
 
+def learn(table: DataFrame, labels: DataFrame, stage: Stage, settings: Settings = Settings()) -> Model:
+    """Fit and calibrate on the labelled rows of ``table`` (doc_id, x) outside fold 0."""
+    outside = id_fold("doc_id", settings.folds) != 0
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("y")).where("y in (0, 1)")
+    labelled = stage.save(table.where(outside).join(known.where(outside), "doc_id").select("x", "y", "doc_id"), "labelled")
+    model = fit(class_sums(labelled.select("x", "y")), settings)
+    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.calibration_rows).select("x", "y").toPandas()
+    return calibrate(model, np.stack(sample["x"]), sample["y"].to_numpy(float)) if len(sample) else model
+
+
+def keep(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, with all their columns.
+
+    Rows are judged as ``score`` judges them, one by one, so repeated rows stay or go together.
+    """
+    stage = Stage(docs.sparkSession, "quality")
+    model = learn(stage.save(vectors(docs), "vectors"), labels, stage, settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([statistics(t.as_py()) for t in batch.column("text")])
+                yield batch.filter(pa.array(model.score(x) >= settings.threshold))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every document.
 
@@ -163,13 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """
     stage = Stage(docs.sparkSession, "quality")
     table = stage.save(vectors(docs), "vectors")
-    held = id_fold("doc_id", settings.folds) == 0
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("y")).where("y in (0, 1)")
-    labelled = stage.save(table.where(~held).join(known.where(~held), "doc_id").select("x", "y", "doc_id"), "labelled")
-    model = fit(class_sums(labelled.select("x", "y")), settings)
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.calibration_rows).select("x", "y").toPandas()
-    if len(sample):
-        model = calibrate(model, np.stack(sample["x"]), sample["y"].to_numpy(float))
+    model = learn(table, labels, stage, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,5 +198,5 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s)],
                                              names=["doc_id", "held_out", "score"])
 
-    scored = table.withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = table.withColumn("held_out", id_fold("doc_id", settings.folds) == 0).mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= settings.threshold).cast("int"))

@@ -19,7 +19,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadymap.llm.common import Stage, partitions_for, words_of
@@ -69,17 +69,23 @@ def _bits(digests: list[bytes]) -> np.ndarray:
     return np.concatenate([np.bincount(raw[:, k], minlength=256) @ table for k in range(8)])
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells the rows of one doc_id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id and signed 64-bit ``fp`` of every whole text."""
+    """doc_id, signed 64-bit ``fp`` and ``key`` (hash of the text) of every whole text."""
     words = settings.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key")).mapInArrow(
+        run, "doc_id long, fp long, key long")
 
 
 def _syndromes(values: np.ndarray, length: int, poly: int) -> np.ndarray:
@@ -176,7 +182,7 @@ def links(fps: DataFrame, settings: Settings, rows: int | None = None) -> DataFr
 
 
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id of every document.
+    """doc_id, fingerprint (16 lowercase hex digits), component_id and key (hash of the text) of every document.
 
     ``component_id`` is the smallest doc_id reachable over fingerprints at most ``threshold`` bits
     apart, itself included. Null, empty and blank texts have fingerprint zero and so belong together;
@@ -195,4 +201,16 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = stage.save(named.join(best, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key")
+
+
+def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One document of every group, the one with the smallest doc_id, with all its columns.
+
+    Repeated rows of one doc_id and text stay once. Documents without doc_id go if one with a doc_id is in
+    their group; if none is, every different text among them stays once.
+    """
+    chosen = groups(docs, settings).where("doc_id <=> component_id").select("doc_id", "key").distinct()
+    key = text_key(F.col("text").cast("string"))
+    kept = docs.withColumn("_key", key).alias("d").join(chosen.alias("c"), F.expr("cast(d.doc_id as long) <=> c.doc_id and d._key = c.key"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
