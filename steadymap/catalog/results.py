@@ -223,7 +223,7 @@ def _partner_sql(treatment, f):
 
 
 def _sign_sql(treatment, models):
-    tail = lambda s: f"""(select sum(exp(lgamma(samples+1)-lgamma(k+1)-lgamma(samples-k+1)-samples*ln(2.0))) from (select unnest(range(n_{s}, samples+1)) k))"""
+    tail = lambda s: f"""(select sum(round(exp(lgamma(samples+1)-lgamma(k+1)-lgamma(samples-k+1)))) / power(2.0, samples) from (select unnest(range(n_{s}, samples+1)) k))"""
     return f"""with {_SEED}, sc as (select dataset, config, file_name_1, file_name_2, {_ABG} from mir),
 bs as (select *, {_partner_sql(treatment, 'file_name_1')} k1, {_partner_sql(treatment, 'file_name_2')} k2, {_first('file_name_1', models)} model from sc),
 tr as (select dataset, file_name_1 k1, file_name_2 k2, any_value(alpha) ta, any_value(beta) tb, any_value(gamma) tg from sc group by 1,2,3 having count(*) = 1),

@@ -148,7 +148,8 @@ class BlockDistance:
     def _js(p, q):
         mid = (p + q) / 2.0
         div = (_entropy(p) / 2.0 + _entropy(q) / 2.0 - _entropy(mid)).sum(axis=1)
-        return np.sqrt(np.maximum(div, 0.0))
+        # a row without mass has no distribution: it is nobody's neighbour
+        return np.where(np.isnan(mid.sum(axis=1)), np.inf, np.sqrt(np.maximum(div, 0.0)))
 
     def exact(self, rows, cols):
         """Distances of chosen pairs, independent of the block they sit in."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -218,11 +218,8 @@ def binomial_tail(hits: pd.Series, samples: pd.Series) -> pd.Series:
     """P(X >= hits) for X ~ Binomial(samples, 1/2), one value per result row."""
 
     def tail(k, n):
-        if k <= 0:
-            return 1.0
-        steps = np.arange(1, n + 1)
-        logs = np.concatenate([[0.0], np.cumsum(np.log(n - steps + 1) - np.log(steps))])[int(k):]
-        return float(min(1.0, np.exp(logs - n * np.log(2.0)).sum()))
+        # whole numbers: rounding a tail must not depend on how its terms were summed
+        return sum(math.comb(n, i) for i in range(max(k, 0), n + 1)) / 2**n
 
     return pd.Series([tail(int(k), int(n)) for k, n in zip(hits, samples)])
 

@@ -9,10 +9,15 @@ from steadymap.operators.text import single_category
 
 
 def _numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """Stable ids: a hash of the row's place or content, equal for every run."""
+    """Stable ids: a hash of the row's place, equal for every run over the same files."""
     return rows.withColumn("doc_id", F.xxhash64(order))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Ids from a row's file and place, so that equal rows stay different documents."""
+    return _numbered(rows, F.concat_ws("|", F.input_file_name(), F.monotonically_increasing_id()))
+
+
 def _decoded(files: DataFrame, charset: str) -> DataFrame:
     if charset.lower() in ("utf-8", "utf8"):
         return files.withColumn("text", F.decode("content", "UTF-8")).drop("content")
@@ -49,26 +54,26 @@ def ecommerce(spark: SparkSession, path: str) -> DataFrame:
     """No header; category, text, both trimmed."""
     rows = _csv(spark, path, "category string, text string", False)
     rows = rows.select(F.trim("category").alias("category"), F.trim("text").alias("text"))
-    return _numbered(rows, F.concat_ws("|", "category", "text")).select("doc_id", "text", "category")
+    return _placed(rows).select("doc_id", "text", "category")
 
 
 def titled_news(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
     """Tab-separated category, title, content; the text is title and content."""
     head = spark.read.option("header", True).option("sep", "\t").option("multiLine", "true").csv(path)
     rows = head.select(F.concat_ws(separator, "title", "content").alias("text"), "category")
-    return _numbered(rows, F.concat_ws("|", "category", "text")).select("doc_id", "text", "category")
+    return _placed(rows).select("doc_id", "text", "category")
 
 
 def lyrics(spark: SparkSession, path: str) -> DataFrame:
     rows = _csv(spark, path, "lyrics string, genere string", True)
     rows = rows.select(F.col("lyrics").alias("text"), F.col("genere").alias("category"))
-    return _numbered(rows, F.concat_ws("|", "category", "text")).select("doc_id", "text", "category")
+    return _placed(rows).select("doc_id", "text", "category")
 
 
 def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header text, label."""
     rows = _csv(spark, path, "text string, label string", True)
-    return _numbered(rows, F.concat_ws("|", "label", "text")).select(
+    return _placed(rows).select(
         "doc_id", "text", F.col("label").alias("category"))
 
 

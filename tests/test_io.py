@@ -105,3 +105,11 @@ def test_binomial_tail():
 
     got = results.binomial_tail(pd.Series([0, 3, 5]), pd.Series([5, 5, 5]))
     assert got.tolist() == pytest.approx([1.0, 0.5, 1 / 32])
+
+
+def test_equal_rows_stay_different_documents(spark, tmp_path):
+    from steadymap.sources import corpora
+
+    (tmp_path / "a.csv").write_text('lyrics,genere\n"la la",x\n"la la",x\n"lo",y\n')
+    rows = corpora.lyrics(spark, str(tmp_path / "a.csv")).collect()
+    assert len({r.doc_id for r in rows}) == 3 and [r.text for r in rows].count("la la") == 2
