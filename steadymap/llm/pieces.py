@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 CACHE = 600_000
 #: White space that splitting at single spaces would cut into several tokens.
@@ -19,9 +19,18 @@ RUN = re.compile(r"\s \s|\s \Z")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids of whole texts as bytes of little-endian unsigned 16-bit integers (both vocabularies are below 65,536)."""
 
+    before = ""  # what stands before every piece in the text
+
     def __init__(self, path: str):
         # a task has one core; the library would start a thread for each core of the machine
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,15 +44,15 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def add(self, pieces: list[str]) -> None:
         if len(self.cache) + len(pieces) > CACHE:
             self.cache.clear()
         for at in range(0, len(pieces), 20_000):
             cut = pieces[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast(cut, add_special_tokens=False)
-            self.cache.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(cut, got))
+            got = self.tokenizer.encode_batch_fast([self.before + p for p in cut], add_special_tokens=False)
+            self.cache.update((p, _packed(e.ids)) for p, e in zip(cut, got))
 
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None if it has to be encoded whole."""
@@ -60,17 +69,43 @@ class Encoder:
             self.add([p for p in dict.fromkeys(pieces) if p not in cache])
             if left := [p for p in dict.fromkeys(pieces) if p not in cache]:  # the cache was cleared meanwhile
                 self.add(left)
-            return b"".join(cache[p] if p in cache else self.whole(p) for p in pieces)
+            return b"".join(cache[p] if p in cache else self.whole(self.before + p) for p in pieces)
 
 
 class ByteEncoder(Encoder):
     """For the byte-level vocabulary: a space belongs to the word after it."""
 
+    before = " "
+
+    def add(self, pieces: list[str]) -> None:
+        # a mark after a letter is a token sequence of its own, so words with and without it share their ids
+        super().add(list(dict.fromkeys(p[:-1] if self._marked(p) else p for p in pieces)))
+        for p in filter(self._marked, pieces):
+            if p not in self.cache and p[:-1] in self.cache:
+                self.cache[p] = self.cache[p[:-1]] + self.mark(p[-1])
+
+    @staticmethod
+    def _marked(piece: str) -> bool:
+        return len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha()
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.whole(mark)
+        return self.marks[mark]
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.marks: dict[str, bytes] = {}
+
     def pieces(self, text: str) -> list[str] | None:
-        if RUN.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        return text.split(" ")
+
+    def encode(self, text: str) -> bytes:
+        # no space stands before the first piece
+        first, _, rest = text.partition(" ")
+        if not _ or RUN.search(text):
+            return self.whole(text)
+        return (self.whole(first) if first else b"") + super().encode(rest)
 
 
 class WordEncoder(Encoder):

@@ -1,9 +1,9 @@
 """Token ids of a corpus in compressed files, by a static range asymmetric numeral system.
 
-File format: a folder of Parquet files of rows (``file``, ``block``, ``docs``, ``payload``, ``crc``), written by Spark's
-committer, and so whole or absent. A file is a range of documents in doc_id order. Its row with block -1 is
-the frequency table that all its blocks share; every other row is a block of whole documents that decodes on
-its own. A block's ids are dealt to ``lanes`` interleaved coders, one id to each in turn, so all lanes step
+File format: a folder of Parquet files of rows (``FILE``), written by Spark's committer, and so whole or absent. A
+file is a range of documents in doc_id order. A row is a segment of it: a frequency table and the blocks that
+share it, each of whole documents, decoding on its own, with the number of ids in the file before the
+segment. A block's ids are dealt to ``lanes`` interleaved coders, one id to each in turn, so all lanes step
 together. Checkpoints hold the lanes' states and the place in the word stream every ``stride`` steps, so that
 long blocks can be decoded from several places at once; checksums cover the payload and the ids.
 """
@@ -27,7 +27,7 @@ from steadymap.llm.pieces import ByteEncoder
 BITS = 20  # frequencies of a table sum to 1 << BITS
 LOW = 31  # a lane's state is at least 1 << LOW
 HEAD, HEAD_SIZE = "<IIIII", 20
-FILE = "file long, block int, docs long, ids long, first_id long, payload binary, crc long"
+FILE = "file long, segment int, docs long, ids long, inside long, payload binary, crc long"
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ class Settings:
     block: int = 1 << 16
     lanes: int = 512
     stride: int = 64
+    segment: int = 1 << 21
     file_bytes: int = 48 << 20
 
 
@@ -143,87 +144,91 @@ def write(docs: DataFrame, vocabulary: str, path: str, settings: Settings = Sett
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number = ByteEncoder(vocabulary), TaskContext.get().partitionId()
+        coder, number, segment, inside = ByteEncoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([settings.end], "<u2").tobytes()
-        blocks: list[tuple[list, list[bytes]]] = [([], [])]
+        docs: list[tuple] = []
+        parts: list[bytes] = []
         held = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.encode(text.as_py()) + end
-                if held and held + len(ids) > 2 * settings.block:
-                    blocks.append(([], []))
-                    held = 0
-                blocks[-1][0].append((doc, len(ids) // 2))
-                blocks[-1][1].append(ids)
-                held += len(ids)
-        joined = [np.frombuffer(b"".join(parts), "<u2") for _, parts in blocks]
-        if not held:
-            return
-        table = Table.of(sum(np.bincount(x, minlength=1 << 16) for x in joined))
-        raw = table.dump()
-        out = [(number, -1, 0, 0, None, raw, zlib.crc32(raw))]
-        for k, ((own, _), ids) in enumerate(zip(blocks, joined)):
-            docs_part = zlib.compress(np.array([(d if d is not None else 0, d is None, n) for d, n in own], "<i8").tobytes())
-            raw = struct.pack("<I", len(docs_part)) + docs_part + encode(ids, table, settings.lanes, settings.stride)
-            out.append((number, k, len(own), len(ids), own[0][0], raw, zlib.crc32(raw)))
-            if len(out) >= 16:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
+                parts.append(coder.encode(text.as_py()) + end)
+                docs.append((doc, len(parts[-1]) // 2))
+                held += docs[-1][1]
+                if held >= settings.segment:
+                    yield _segment(number, segment, inside, docs, parts, settings)
+                    segment, inside, held, docs, parts = segment + 1, inside + held, 0, [], []
+        if docs:
+            yield _segment(number, segment, inside, docs, parts, settings)
 
     parts = max(1, -(-size // settings.file_bytes))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(run, FILE).write.option("compression", "none").parquet(path)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _segment(file: int, segment: int, inside: int, docs: list[tuple], parts: list[bytes], settings: Settings) -> pa.RecordBatch:
+    """A row: the shared table, then per block the sizes of its two halves, its documents and its coded ids."""
+    ids = np.frombuffer(b"".join(parts), "<u2")
+    table = Table.of(np.bincount(ids, minlength=1 << 16))
+    head = table.dump()
+    out, at, first = [struct.pack("<I", len(head)), head], 0, 0
+    while first < len(docs):
+        last, size = first, 0
+        while last < len(docs) and (not size or size + docs[last][1] <= settings.block):
+            size += docs[last][1]
+            last += 1
+        own = zlib.compress(np.array([(d if d is not None else 0, d is None, n) for d, n in docs[first:last]], "<i8").tobytes())
+        coded = encode(ids[at : at + size], table, settings.lanes, settings.stride)
+        out += [struct.pack("<II", len(own), len(coded)), own, coded]
+        at, first = at + size, last
+    raw = b"".join(out)
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    names = ("file", "block", "docs", "ids", "first_id", "payload", "crc")
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
+    names = ["file", "segment", "docs", "ids", "inside", "payload", "crc"]
+    values = (file, segment, len(docs), len(ids), inside, raw, zlib.crc32(raw))
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
 
-def unpack(payload: bytes, crc: int, table: Table, slots: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """(doc_id, number of ids) of a block's documents, and all their ids."""
+def unpack(payload: bytes, crc: int) -> Iterator[tuple[list[tuple], np.ndarray]]:
+    """Per block of a segment: (doc_id, number of ids) of its documents, and all their ids."""
     if zlib.crc32(payload) != crc:
-        raise ValueError("a block does not match its checksum")
+        raise ValueError("a segment does not match its checksum")
     size, = struct.unpack_from("<I", payload)
-    docs = np.frombuffer(zlib.decompress(payload[4 : 4 + size]), "<i8").reshape(-1, 3).tolist()
-    return [(None if none else d, n) for d, none, n in docs], decode(payload[4 + size :], table, slots)
+    table, at = Table.load(payload[4 : 4 + size]), 4 + size
+    slots = table.slots()
+    while at < len(payload):
+        a, b = struct.unpack_from("<II", payload, at)
+        docs = np.frombuffer(zlib.decompress(payload[at + 8 : at + 8 + a]), "<i8").reshape(-1, 3).tolist()
+        yield [(None if none else d, n) for d, none, n in docs], decode(payload[at + 8 + a : at + 8 + a + b], table, slots)
+        at += 8 + a + b
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files."""
     files = spark.read.schema(FILE).parquet(path)
     # one number per file of about file_bytes: the documents before a file
-    sizes = sorted(tuple(r) for r in files.where("block >= 0").groupBy("file").agg(F.sum("ids")).collect())
+    sizes = sorted(tuple(r) for r in files.groupBy("file").agg(F.sum("ids")).collect())
     before, total = {}, 0
     for file, n in sizes:
         before[file], total = total, total + n
     offsets = spark.createDataFrame(list(before.items()) or [(-1, 0)], "file long, before long")
-    inside = F.expr("sum(ids) over (partition by file order by block rows between unbounded preceding and 1 preceding)")
-    starts = files.where("block >= 0").select("file", "block", "ids").withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, "file").select(
-        "file", "block", (F.col("inside") + F.col("before")).alias("start"))
-    tables = files.where("block = -1").select("file", F.col("payload").alias("table"))
-    placed = files.where("block >= 0").select("file", "block", "payload", "crc").join(starts, ["file", "block"]).join(tables, "file")
+    # payloads stay where they are: Spark broadcasts the few offsets if they are small
+    placed = files.join(offsets, "file").select("payload", "crc", (F.col("before") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, slots = None, None, None
         for batch in batches:
-            for file, payload, crc, start, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "payload", "crc", "start", "table"))):
-                if file != known:
-                    known, table = file, Table.load(raw)
-                    slots = table.slots()
-                docs, ids = unpack(payload, crc, table, slots)
-                wide, at, out = ids.astype("<u4"), 0, []
-                for doc, n in docs:
-                    out.append((doc, start + at, n, zlib.crc32(wide[at : at + n].tobytes())))
-                    at += n
-                doc, begin, n, check = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64())],
-                                                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return placed.sortWithinPartitions("file", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for payload, crc, start in zip(*(batch.column(c) for c in ("payload", "crc", "start"))):
+                start = start.as_py()
+                for docs, ids in unpack(payload.as_py(), crc.as_py()):
+                    wide, at, out = ids.astype("<u4"), 0, []
+                    for doc, n in docs:
+                        out.append((doc, start + at, n, zlib.crc32(wide[at : at + n])))
+                        at += n
+                    start += at
+                    doc, begin, n, check = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, settings: Settings = Settings()) -> DataFrame:

@@ -13,7 +13,7 @@ from steadymap.llm.queries import BYTES, WORDS, vocabulary
 def texts():
     rng = random.Random(0)
     bits = ["the ", "don't ", " ", "  ", "\n", "\t", " \n", "\x0b", "\x1c", "\x85", "\xa0", "　", "Éa", "é", "ﬁ", "ΣΑΣ", "İ", "12 3", "...", "!?", "𝄞", "<|endoftext|>",
-            "<|startoftext|> ", "word", "Word", "日本", "‍", "\x00", "'s", " 's", "###"]
+            "<|startoftext|> ", "word", "Word", "日本", "‍", "\x00", "'s", " 's", "###", "aé, ", "b.", "c,. "]
     out = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(1500)]
     passage = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(600))
     return out + ["", " ", "   ", "a   ", "   a", passage, "x " + passage, passage + " y", passage * 20, "word " * 40_000, "é" * 30_000]
@@ -92,6 +92,6 @@ def test_files(spark):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    settings = rans.Settings(block=300, lanes=16, stride=2, file_bytes=60_000)
+    settings = rans.Settings(block=300, lanes=16, stride=2, segment=1000, file_bytes=60_000)
     assert sorted(map(tuple, rans.round_trip(docs, vocabulary(BYTES), settings).collect())) == sorted(want)
     assert rans.round_trip(docs.limit(0), vocabulary(BYTES)).collect() == []
