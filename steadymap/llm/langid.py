@@ -22,6 +22,7 @@ from steadymap.llm.common import id_fold
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,12 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     bound = min(settings.sample, max(1, settings.sample_all // max(1, languages)))
     # a hash decides who is in the sample: no sort and no window over a large language
     chance = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(sizes, "lang").where(chance < bound / F.col("count")).select("doc_id", "lang", "text")
+    if languages <= settings.sample_all:  # one small row a language: texts stay where they are
+        counted = rows.join(F.broadcast(sizes), "lang")
+    else:  # a language's texts meet its count in SALTS places
+        counted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+            sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"])
+    picked = counted.where(chance < bound / F.col("count")).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
