@@ -12,6 +12,7 @@ import os
 import re
 import sys
 from array import array
+from functools import lru_cache
 
 CACHE = 600_000
 #: White space that splitting at single spaces would cut into several tokens.
@@ -62,14 +63,21 @@ class Encoder:
         pieces = self.pieces(text)
         if pieces is None:
             return self.whole(text)
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            self.add([p for p in dict.fromkeys(pieces) if p not in cache])
-            if left := [p for p in dict.fromkeys(pieces) if p not in cache]:  # the cache was cleared meanwhile
-                self.add(left)
-            return b"".join(cache[p] if p in cache else self.whole(self.before + p) for p in pieces)
+        got = list(map(self.cache.get, pieces))
+        if None in got:
+            self.add(list(dict.fromkeys(p for p, ids in zip(pieces, got) if ids is None)))
+            # what was found stays valid if the cache was cleared meanwhile
+            get = self.cache.get
+            got = [get(p) if ids is None else ids for p, ids in zip(pieces, got)]
+            if None in got:
+                got = [self.whole(self.before + p) if ids is None else ids for p, ids in zip(pieces, got)]
+        return b"".join(got)
+
+
+@lru_cache(maxsize=1)
+def shared(kind: type[Encoder], path: str) -> Encoder:
+    """The encoder of a worker process, so that its later tasks find the pieces of the earlier ones."""
+    return kind(path)
 
 
 class ByteEncoder(Encoder):
@@ -79,14 +87,17 @@ class ByteEncoder(Encoder):
 
     def add(self, pieces: list[str]) -> None:
         # a mark after a letter is a token sequence of its own, so words with and without it share their ids
-        super().add(list(dict.fromkeys(p[:-1] if self._marked(p) else p for p in pieces)))
-        for p in filter(self._marked, pieces):
-            if p not in self.cache and p[:-1] in self.cache:
-                self.cache[p] = self.cache[p[:-1]] + self.mark(p[-1])
-
-    @staticmethod
-    def _marked(piece: str) -> bool:
-        return len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha()
+        cache, bare, marked = self.cache, {}, []
+        for p in pieces:
+            if len(p) > 1 and p[-1] in ",." and p[-2].isalpha():
+                marked.append(p)
+                p = p[:-1]
+            if p not in cache:
+                bare[p] = None
+        super().add(list(bare))
+        for p in marked:
+            if (ids := cache.get(p[:-1])) is not None:
+                cache[p] = ids + self.mark(p[-1])
 
     def mark(self, mark: str) -> bytes:
         if mark not in self.marks:

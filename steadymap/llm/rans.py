@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadymap.llm.common import Stage
-from steadymap.llm.pieces import ByteEncoder
+from steadymap.llm.pieces import ByteEncoder, shared
 
 BITS = 20  # frequencies of a table sum to 1 << BITS
 LOW = 31  # a lane's state is at least 1 << LOW
@@ -144,7 +144,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, settings: Settings = Sett
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number, segment, inside = ByteEncoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        coder, number, segment, inside = shared(ByteEncoder, vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([settings.end], "<u2").tobytes()
         docs: list[tuple] = []
         parts: list[bytes] = []
