@@ -60,13 +60,12 @@ def coherence_cv(spark, sf):
     return rounded(topics.coherence_cv(*lang_topics(spark, sf)))
 
 
-def _sparse(spark, sf, min_density=0.01):
+def _sparse(spark, sf):
+    """Every document over the whole vocabulary."""
     docs = materialize(token_lists(spark, sf))
     c = materialize(vectors.bow(docs))
-    kept = vectors.keep_terms(c, vectors.density(c, document_count(c), min_density))
-    kept = materialize(kept)
-    terms = materialize(vectors.dictionary(kept))
-    rows = materialize(vectors.sparse_rows(kept, terms).repartition("doc_id"))
+    terms = materialize(vectors.dictionary(c))
+    rows = materialize(vectors.sparse_rows(c, terms).repartition("doc_id"))
     return docs, rows, terms, terms.count()
 
 
@@ -77,14 +76,14 @@ def _named(topic_terms, terms, n=10):
 @query("lda")
 def lda(spark, sf):
     _, rows, terms, width = _sparse(spark, sf)
-    _, topic_terms, perplexity = topics.lda(rows, width, 5, iterations=10)
+    _, topic_terms, perplexity = topics.lda(rows, width, 5)
     return _named(topic_terms, terms).withColumn("perplexity", F.lit(float(perplexity)))
 
 
 @query("lda_documents")
 def lda_documents(spark, sf):
     _, rows, _, width = _sparse(spark, sf)
-    docs, _, _ = topics.lda(rows, width, 5, iterations=10)
+    docs, _, _ = topics.lda(rows, width, 5)
     return vectors.dense_rows(docs, 5)
 
 
@@ -98,7 +97,7 @@ def lsi(spark, sf):
 @query("nmf")
 def nmf(spark, sf):
     _, rows, terms, width = _sparse(spark, sf)
-    _, topic_terms, errors = topics.nmf(rows, width, 5, 6)
+    _, topic_terms, errors = topics.nmf(rows, width, 5)
     return _named(topic_terms, terms).withColumn("error", F.lit(errors[-1]))
 
 

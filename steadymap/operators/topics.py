@@ -134,8 +134,11 @@ def _features(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", make("v.idx", "v.val").alias("features"))
 
 
-def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: int = 20, seed: int = 42):
-    """(doc_topics, topic_terms, perplexity): all k topics are kept for every document."""
+def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: int = 100, seed: int = 42):
+    """(doc_topics, topic_terms, perplexity): all k topics are kept for every document.
+
+    A round reads a twentieth of the documents, so 100 rounds are about five passes.
+    """
     data = materialize(_features(rows, width))
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
                 optimizeDocConcentration=alpha == "auto")
@@ -174,9 +177,10 @@ def lsi(rows: DataFrame, width: int, k: int):
     return docs, spark.createDataFrame(pd.DataFrame(terms, columns=["topic", "term_id", "weight"]))
 
 
-def nmf(rows: DataFrame, width: int, k: int, iterations: int = 10, seed: int = 42):
+def nmf(rows: DataFrame, width: int, k: int, iterations: int = 200, seed: int = 42, tolerance: float = 1e-3):
     """(doc_topics, topic_terms, errors): multiplicative updates.
 
+    Rounds end when the error falls by less than ``tolerance`` of itself, or after ``iterations``.
     Documents keep their weights in a table that is rewritten per round; the topic-term matrix
     (vocabulary x k, checked) and the k x k Gram matrix are the only things on the driver.
     """
@@ -224,6 +228,8 @@ def nmf(rows: DataFrame, width: int, k: int, iterations: int = 10, seed: int = 4
             target[part["t"], part["n"]] = part["x"]
         errors.append(float(total.loc[total["kind"] == 2, "x"].iloc[0]))
         h = h * up / (gram @ h + EPS)
+        if len(errors) > 1 and errors[-2] - errors[-1] < tolerance * errors[-2]:
+            break
     docs = state.select("doc_id", F.posexplode("w").alias("topic", "p"))
     t, n = np.nonzero(h >= 0)
     terms = spark.createDataFrame(pd.DataFrame({"topic": t, "term_id": n, "weight": h[t, n]}))

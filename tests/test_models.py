@@ -122,6 +122,20 @@ def test_seeded_layouts_repeat_for_any_blocking(blobs):
     assert np.allclose(a[["x", "y"]], b[["x", "y"]])
 
 
+def test_pca_is_centred_and_keeps_the_variance(blobs):
+    rows, _ = projection.pca(blobs)
+    got = np.stack(rows.orderBy("id").toPandas()["v"])
+    v = np.stack(blobs.orderBy("id").toPandas()["v"])
+    s = np.linalg.svd(v - v.mean(0), compute_uv=False)
+    assert np.allclose(got.mean(0), 0, atol=1e-9) and np.allclose(np.square(got).sum(0), s[:2] ** 2)
+
+
+def test_nmf_stops_when_it_has_converged(corpus):
+    _, rows, _, width = corpus
+    errors = topics.nmf(rows, width, 2, 100, tolerance=0.01)[2]
+    assert len(errors) < 100 and errors[-2] - errors[-1] < 0.01 * errors[-2]
+
+
 def test_pca_share(blobs):
     assert projection.pca_for_share(blobs, 5, 0.9).first()["v"].__len__() == 1
 
