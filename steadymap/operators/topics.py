@@ -134,10 +134,10 @@ def _features(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", make("v.idx", "v.val").alias("features"))
 
 
-def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: int = 100, seed: int = 42):
+def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: int = 20, seed: int = 42):
     """(doc_topics, topic_terms, perplexity): all k topics are kept for every document.
 
-    A round reads a twentieth of the documents, so 100 rounds are about five passes.
+    A round reads a twentieth of the documents, so 20 rounds are about one pass.
     """
     data = materialize(_features(rows, width))
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
