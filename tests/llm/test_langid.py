@@ -37,3 +37,10 @@ def test_nothing_to_learn_and_empty_table(spark):
     model = langid.fit(docs)
     assert [(r.lang_pred, r.score) for r in langid.identify(docs, model).collect()] == [("und", 0.0)]
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).collect() == []
+
+
+def test_more_languages_than_are_broadcast(spark):
+    docs = spark.createDataFrame([(n, f"text of language {chr(97 + n % 26)}", f"l{n:02}") for n in range(40) if zlib.crc32(str(n).encode()) % 5],
+                                 "doc_id long, text string, lang string")
+    few = langid.Settings(sample_all=20, buckets=1 << 10, epochs=1)
+    assert langid.fit(docs, few).langs == sorted(r.lang for r in docs.collect())
