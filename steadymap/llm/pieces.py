@@ -13,8 +13,14 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import islice
+
+import numpy as np
 
 CACHE = 600_000
+JOINED = 1000  # pieces per call where many are encoded as one text
+#: Fixed value: the byte-level vocabulary's letter for a space.
+SPACE = "\u0120"
 #: White space that splitting at single spaces would cut into several tokens.
 RUN = re.compile(r"\s \s|\s \Z")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -48,13 +54,17 @@ class Encoder:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def add(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
+        self.make_room(len(pieces))
         for at in range(0, len(pieces), 20_000):
             cut = pieces[at : at + 20_000]
             got = self.tokenizer.encode_batch_fast([self.before + p for p in cut], add_special_tokens=False)
             self.cache.update((p, _packed(e.ids)) for p, e in zip(cut, got))
 
+    def make_room(self, more: int) -> None:
+        """A full cache keeps its older half: frequent pieces are met early."""
+        if len(self.cache) + more > CACHE:
+            self.cache = dict(islice(self.cache.items(), CACHE // 2))
+
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None if it has to be encoded whole."""
         raise NotImplementedError
@@ -66,7 +76,7 @@ class Encoder:
         got = list(map(self.cache.get, pieces))
         if None in got:
             self.add(list(dict.fromkeys(p for p, ids in zip(pieces, got) if ids is None)))
-            # what was found stays valid if the cache was cleared meanwhile
+            # what was found stays valid if the cache was cut meanwhile
             get = self.cache.get
             got = [get(p) if ids is None else ids for p, ids in zip(pieces, got)]
             if None in got:
@@ -94,11 +104,32 @@ class ByteEncoder(Encoder):
                 p = p[:-1]
             if p not in cache:
                 bare[p] = None
-        super().add(list(bare))
+        self.add_joined(list(bare))
+        cache = self.cache  # it may be another one now
         for p in marked:
             if (ids := cache.get(p[:-1])) is not None:
                 cache[p] = ids + self.mark(p[-1])
 
+    def add_joined(self, pieces: list[str]) -> None:
+        """Encode many pieces by one call: a piece's ids begin where an id stands for a text with a space in front.
+
+        Calls with a piece that holds white space itself, or whose ids begin at more or fewer places, go piece by piece.
+        """
+        self.make_room(len(pieces))
+        for at in range(0, len(pieces), JOINED):
+            cut = pieces[at : at + JOINED]
+            text = " ".join(cut)
+            if len(cut) < 2 or text.split() != cut:
+                super().add(cut)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u2")
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(cut) or begins[0]:
+                super().add(cut)
+                continue
+            raw, ends = ids.tobytes(), (2 * begins).tolist() + [2 * len(ids)]
+            self.cache.update(zip(cut, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+
     def mark(self, mark: str) -> bytes:
         if mark not in self.marks:
             self.marks[mark] = self.whole(mark)
@@ -107,6 +138,8 @@ class ByteEncoder(Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.marks: dict[str, bytes] = {}
+        self.spaced = np.zeros(1 << 16, bool)  # ids that stand for a text with a space in front
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
 
     def pieces(self, text: str) -> list[str] | None:
         return text.split(" ")
