@@ -74,13 +74,14 @@ class Encoder:
         if pieces is None:
             return self.whole(text)
         got = list(map(self.cache.get, pieces))
-        if None in got:
-            self.add(list(dict.fromkeys(p for p, ids in zip(pieces, got) if ids is None)))
+        missing = [n for n, ids in enumerate(got) if ids is None]
+        if missing:
+            self.add(list(dict.fromkeys([pieces[n] for n in missing])))
             # what was found stays valid if the cache was cut meanwhile
             get = self.cache.get
-            got = [get(p) if ids is None else ids for p, ids in zip(pieces, got)]
-            if None in got:
-                got = [self.whole(self.before + p) if ids is None else ids for p, ids in zip(pieces, got)]
+            for n in missing:
+                ids = get(pieces[n])
+                got[n] = self.whole(self.before + pieces[n]) if ids is None else ids
         return b"".join(got)
 
 

@@ -33,8 +33,8 @@ FILE = "file long, segment int, docs long, ids long, inside long, payload binary
 @dataclass(frozen=True)
 class Settings:
     end: int = 2
-    block: int = 1 << 16
-    lanes: int = 512
+    block: int = 1 << 17
+    lanes: int = 1024
     stride: int = 64
     segment: int = 1 << 21
     file_bytes: int = 48 << 20
@@ -97,7 +97,8 @@ def encode(ids: np.ndarray, table: Table, lanes: int, stride: int) -> bytes:
             words.append(out)
             written += len(out)
             x = np.where(full, x >> low, x)
-        state[: len(f)] = ((x // f) << bits) + x % f + s
+        q = x // f
+        state[: len(f)] = (q << bits) + (x - q * f) + s
         if step % stride == 0:
             marks.append((step, written, state.copy()))
     marks.reverse()
