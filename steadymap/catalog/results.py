@@ -256,7 +256,7 @@ def example_selection(spark, sf):
 @query("name_functions", f"""with {_RAW}
 select pos, {_rel('file_name_1')} relative, coalesce(nullif(array_to_string(list_slice(string_split(file_name_2, '_'), 1, greatest(len(string_split(file_name_2, '_')) - 2, 0)), '_'), ''), '') identifier,
   {_FAM(_first('file_name_2', naming.MODELS))} family, {_first('file_name_2', naming.DATASETS[::-1])} named_dataset,
-  case when length(file_name_2) > 60 then substr(file_name_2, 1, 40) || '_' || substr(sha256(file_name_2), 1, 15) || '.csv' else file_name_2 end shortened,
+  case when length(file_name_2) >= 60 then substr(file_name_2, 1, 35) || '_' || substr(sha256(file_name_2), 1, 15) || '.csv' else file_name_2 end shortened,
   config || '_' || seed_1 || '_' || seed_2 as evaluation_key
 from raw where file_name_1 <> 'file_name_1'""")
 def name_functions(spark, sf):
@@ -265,7 +265,7 @@ def name_functions(spark, sf):
         "pos", naming.relative_path(F.col("file_name_1"), F.col("dataset")).alias("relative"),
         naming.identifier(f2).alias("identifier"),
         naming.family(naming.model_reduction(f2)[1]).alias("family"),
-        naming.dataset_of(f2).alias("named_dataset"), naming.shortened(f2, 60).alias("shortened"),
+        naming.dataset_of(f2).alias("named_dataset"), naming.shortened(f2, 70, 10).alias("shortened"),
         naming.evaluation_key(F.col("config"), F.col("seed_1").cast("string"), F.col("seed_2").cast("string")).alias("evaluation_key"))
 
 

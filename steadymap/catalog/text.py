@@ -192,10 +192,10 @@ def label_codes(spark, sf):
 
 
 @query("single_category_docs", """
-select conv_id doc_id, string_agg(text, ' ' order by turn) as text, any_value(role) category
-from conversations group by conv_id having count(distinct role) = 1""")
+select l_orderkey doc_id, string_agg(l_linestatus, ' ' order by l_linenumber, l_linestatus) as text, any_value(l_returnflag) category
+from lineitem group by l_orderkey having count(distinct l_returnflag) = 1""")
 def single_category_docs(spark, sf):
-    return text.single_category(table(spark, sf, "conversations"), "conv_id", "role", "text", "turn")
+    return text.single_category(table(spark, sf, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
 
 
 @query("topk_class_docs", """

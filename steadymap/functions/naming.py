@@ -76,11 +76,17 @@ def evaluation_key(name: Column, *fields: Column) -> Column:
     return F.concat_ws("_", name, *fields)
 
 
-def shortened(name: Column, limit: int = 255) -> Column:
-    """Names beyond the limit become prefix + '_' + hash + '.csv'."""
-    digest = F.substring(F.sha2(name, 256), 1, 15)
-    prefix = F.substring(name, 1, limit - 20)
-    return F.when(F.length(name) > limit, F.concat(prefix, F.lit("_"), digest, F.lit(".csv"))).otherwise(name)
+def shortened(name: Column, limit: int = 255, offset: int = 40) -> Column:
+    """Names of ``limit`` - ``offset`` characters or more become prefix + '_' + hash + '.csv'.
+
+    The prefix leaves room for the hash and another ``offset`` characters.
+    """
+    most, hashed = limit - offset, 15
+    if most - hashed - offset < 1:
+        raise ValueError("the limit leaves no room for a prefix")
+    digest = F.substring(F.sha2(name, 256), 1, hashed)
+    prefix = F.substring(name, 1, most - hashed - offset)
+    return F.when(F.length(name) >= most, F.concat(prefix, F.lit("_"), digest, F.lit(".csv"))).otherwise(name)
 
 
 def as_flag(text: Column) -> Column:

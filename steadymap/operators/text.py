@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from steadymap.functions import words
 from steadymap.operators.order import number_rows
+from steadymap.session import share
 
 
 def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,10 +72,14 @@ def largest_classes(docs: DataFrame, k: int, column: str = "category") -> DataFr
 
 
 def word_index(token_lists: DataFrame, min_count: int = 1) -> DataFrame:
-    """(term, idx): terms numbered from 1 by falling frequency, then by term."""
+    """(term, idx): terms numbered from 1 by falling frequency, then by term.
+
+    Rare frequencies are shared by most terms, so the first two letters split them into ranges.
+    """
     counts = token_lists.select(F.explode("tokens").alias("term")).groupBy("term").agg(
         F.count("*").alias("cf")).filter(F.col("cf") >= min_count)
-    numbered = number_rows(counts, -F.col("cf"), ["term"], "idx")
+    letters = F.ascii("term") * F.lit(2.0 ** 21) + F.ascii(F.substring("term", 2, 1))
+    numbered = number_rows(share(counts), letters / F.lit(2.0 ** 42) - F.col("cf"), ["term"], "idx")
     return numbered.select("term", (F.col("idx") + 1).alias("idx"), "cf")
 
 

@@ -34,7 +34,9 @@ def _rows(files: DataFrame, columns: list[str]) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 values = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
                 values = values.reshape(len(values), -1)
-                out = pd.DataFrame(values[:, : len(columns)].astype("float64"), columns=columns)
+                if values.shape[1] != len(columns):
+                    raise ValueError(f"{path} has {values.shape[1]} columns, not {len(columns)}")
+                out = pd.DataFrame(values.astype("float64"), columns=columns)
                 out.insert(0, "point_id", np.arange(len(out)))
                 out.insert(0, "path", path)
                 yield out

@@ -144,3 +144,12 @@ def test_lemma_table_keeps_order(spark):
     docs = spark.createDataFrame([(1, ["cats", "see", "dogs"])], "doc_id long, tokens array<string>")
     lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
     assert text.lemmatize(docs, lemmas).first()["tokens"] == ["cat", "see", "dog"]
+
+
+def test_word_index_by_frequency_then_term(spark):
+    terms = ["b", "ba", "bb", "é", "a", "ab", "aa", "𝄞", "z", "日本"]
+    docs = spark.createDataFrame([(1, terms), (2, terms[:3]), (3, terms[2:5])], "doc_id long, tokens array<string>")
+    count = {t: terms.count(t) + terms[:3].count(t) + terms[2:5].count(t) for t in terms}
+    want = sorted(terms, key=lambda t: (-count[t], t))
+    got = {r["term"]: r["idx"] for r in text.word_index(docs).collect()}
+    assert got == {t: n + 1 for n, t in enumerate(want)}
