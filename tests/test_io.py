@@ -49,6 +49,9 @@ def test_layouts_and_labels(spark, tmp_path):
     got = layouts.read_layouts(spark, str(tmp_path)).orderBy("point_id").select("point_id", "x", "y", "seed", "jitter")
     assert got.collect() == [(0, 1.0, 2.0, 7, 0.25), (1, 3.0, 4.0, 7, 0.25)]
     assert [r["y"] for r in layouts.read_labels(spark, str(tmp_path)).orderBy("point_id").collect()] == [0, 1]
+    np.save(run / "with.npy", np.zeros((2, 3)))
+    with pytest.raises(Exception, match="3 columns, not 2"):
+        layouts.read_layouts(spark, str(tmp_path)).collect()
 
 
 def test_append_skips_stored_rows(spark, tmp_path):
