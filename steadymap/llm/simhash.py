@@ -210,7 +210,12 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Repeated rows of one doc_id and text stay once. Documents without doc_id go if one with a doc_id is in
     their group; if none is, every different text among them stays once.
     """
-    chosen = groups(docs, settings).where("doc_id <=> component_id").select("doc_id", "key").distinct()
+    return first_of(docs, groups(docs, settings))
+
+
+def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``grouped`` (doc_id, component_id, key) has as the first of their group."""
+    chosen = grouped.where("doc_id <=> component_id").select("doc_id", "key").distinct()
     key = text_key(F.col("text").cast("string"))
     kept = docs.withColumn("_key", key).alias("d").join(chosen.alias("c"), F.expr("cast(d.doc_id as long) <=> c.doc_id and d._key = c.key"), "left_semi")
     return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
