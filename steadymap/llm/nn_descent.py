@@ -6,7 +6,8 @@ node hands its list to one task, which compares all members with each other. Lis
 ``neighbours`` members; a list that only holds links is saturated, and is enlarged until it is not, so
 dense groups end with all their links. When links stop growing, a sample of nodes is compared with every
 node of its label by brute force; if too few of its links were found, more tables are added and the
-descent goes on.
+descent goes on, a few times. An exact pass closes: nodes go to the cell of their nearest pivot, and to every
+other cell that a link of theirs can lie in by the triangle inequality of angles, so no link is given up.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ EDGES = "u long, v long, cos double"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: members of a list one task compares in a round, drawn anew every round."""
+    """``sample``: members of a list one task compares in a round, drawn anew every round.
+
+    ``cell``: nodes of a cell of the exact pass.
+    """
 
     threshold: float = 0.98
     neighbours: int = 16
@@ -41,6 +45,7 @@ class Settings:
     audit: int = 200
     recall: float = 0.98
     audits: int = 4
+    cell: int = 8192
     seed: int = 5
 
 
@@ -145,8 +150,74 @@ def audit(nodes: DataFrame, edges: DataFrame, settings: Settings, batch: int) ->
     return got / want if want else 1.0
 
 
+def closing(nodes: DataFrame, settings: Settings, stage: Stage) -> DataFrame:
+    """All links ``u``, ``v`` within the labels, each at least once, from whole comparisons.
+
+    Cells of more than ``cell`` nodes are split at random. A pair of nodes is compared in the earlier one of
+    their two cells; only cells whose every node is too far away in angle for a link are left out.
+    """
+    spark, reach = nodes.sparkSession, math.acos(settings.threshold) + 1e-6
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / settings.cell).alias("cells"))
+    order = F.expr(f"row_number() over (partition by label order by xxhash64(node, {settings.seed}), node)")
+    drawn = nodes.join(sizes.where("cells > 1"), "label").select("label", "e", "cells", order.alias("pivot")).where("pivot <= cells")
+    found = drawn.select("label", "e").toPandas()
+    pivots = spark.sparkContext.broadcast({k: _stack(f["e"]) for k, f in found.groupby("label")})
+
+    def angles(e: np.ndarray, label: int) -> np.ndarray:
+        if label not in pivots.value:
+            return np.zeros((len(e), 1))
+        return np.arccos(np.clip(cosines(e, pivots.value[label]), -1, 1))
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for label, g in f.groupby("label"):
+                a = angles(_stack(g["e"]), label)
+                yield g.assign(pivot=a.argmin(1), angle=a.min(1))
+
+    placed = stage.save(nodes.select("label", "node", "e").mapInPandas(home, "label long, node long, e array<double>, pivot int, angle double"), "placed")
+    cells = placed.groupBy("label", "pivot").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / settings.cell).alias("pieces")).toPandas()
+    layout = spark.sparkContext.broadcast({k: f.sort_values("pivot") for k, f in cells.groupby("label")})
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for label, g in f.groupby("label"):
+                plan, e, node = layout.value[label], _stack(g["e"]), g["node"].to_numpy()
+                pivot, pieces = plan["pivot"].to_numpy(), plan["pieces"].to_numpy()
+                first = np.cumsum(pieces) - pieces
+                at = np.searchsorted(pivot, g["pivot"].to_numpy())
+                own = first[at] + (node * 0x9E3779B1 >> 7) % pieces[at]
+                near = angles(e, label)[:, pivot] <= plan["radius"].to_numpy() + reach
+                for c in range(len(pivot)):
+                    for cell in range(first[c], first[c] + pieces[c]):
+                        here = np.nonzero((own == cell) | (near[:, c] & (cell < own)))[0]
+                        yield pd.DataFrame({"label": label, "cell": cell, "home": own[here] == cell, "node": node[here], "e": g["e"].to_numpy()[here]})
+
+    met = placed.select("label", "node", "e", "pivot").mapInPandas(spread, "label long, cell long, home boolean, node long, e array<double>")
+    met = stage.save(met, "met")
+    parts = met.groupBy("label", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(~F.col("home"), 1)) / settings.cell)).alias("parts"))
+    # visitors meet the cell's own nodes in parts, own nodes are compared with each other in the first
+    own = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
+    ready = stage.again("met", met).join(parts, ["label", "cell"]).select("label", "cell", "home", "node", "e", F.explode(own).alias("part"))
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        at_home = group["home"].to_numpy()
+        e, ids = _stack(group["e"]), group["node"].to_numpy()
+        others = np.ones(len(ids), bool) if key[2] == 0 else ~at_home
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if others.any() and at_home.any():
+            there, mine = ids[others], ids[at_home]
+            for k in range(0, len(mine), 1024):
+                row, col = np.nonzero(cosines(e[at_home][k : k + 1024], e[others]) >= settings.threshold)
+                a, b = mine[k + row], there[col]
+                u.append(a[a != b])
+                v.append(b[a != b])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return ready.groupBy("label", "cell", "part").applyInPandas(compare, "u long, v long")
+
+
 def links(nodes: DataFrame, dim: int, settings: Settings, stage: Stage) -> DataFrame:
-    """All links found among ``nodes`` (label, node, e), both ways, as a staged table."""
+    """All links among ``nodes`` (label, node, e), both ways."""
     graph, step, batch, found = None, 0, 0, -1
 
     def keep(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -166,7 +237,7 @@ def links(nodes: DataFrame, dim: int, settings: Settings, stage: Stage) -> DataF
             graph, now = keep(graph.unionByName(linked).unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos")))
         found, batch = max(found, now), batch + 1
         if batch == settings.audits or audit(nodes, graph, settings, batch) >= settings.recall:
-            linked = graph.where(F.col("cos") >= settings.threshold)
+            linked = graph.where(F.col("cos") >= settings.threshold).select("u", "v").unionByName(closing(nodes, settings, stage))
             return linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
