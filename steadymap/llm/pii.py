@@ -32,7 +32,7 @@ SPANS = "array<struct<start:int, no:int, end:int, value:string, one:string, two:
 
 @dataclass(frozen=True)
 class Settings:
-    """``support``: distinct known instances a pattern needs; ``context``: characters looked at for the words before."""
+    """``support``: distinct known instances, base or found, a pattern needs; ``context``: characters looked at for the words before."""
 
     rounds: int = 3
     confidence: float = 0.8
@@ -114,16 +114,19 @@ def bootstrap(rows: DataFrame, stage: Stage, settings: Settings) -> DataFrame:
 
     known = edges("base", F.col("s.no"))
     graph = stage.save(known.unionByName(edges("others", F.lit(None).cast("int"))), "graph")
-    sizes = stage.save(graph.groupBy("pattern").agg(F.count("*").alias("n"), F.count("no").alias("seeds")).where(
-        F.col("seeds") >= settings.support), "patterns")
-    seeds = graph.where("no is not null").groupBy("pattern", "no").agg(F.count("*").alias("seeds"))
+    # a pattern with fewer instances can never have the support
+    sizes = stage.save(graph.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= settings.support), "patterns")
+    seeds = graph.where("no is not null").select("pattern", "no", "value", F.lit(1.0).alias("score"))
     found = None
     for step in range(settings.rounds):
         sure = seeds
         if found is not None:
-            more = graph.where("no is null").drop("no").join(found, "value").groupBy("pattern", "no").agg(F.sum("score").alias("more"))
-            sure = seeds.join(more, ["pattern", "no"], "left").withColumn("seeds", F.col("seeds") + F.coalesce("more", F.lit(0.0))).drop("more")
-        scores = sure.where(F.col("seeds") >= settings.support).join(sizes.select("pattern", "n"), "pattern").select(
+            sure = seeds.unionByName(stage.again("graph", graph).where("no is null").drop("no").join(found, "value").select(
+                "pattern", "no", "value", "score"))
+        # what was found in the last round supports patterns as base seeds do, weighted by how sure it is
+        sure = sure.groupBy("pattern", "no", "value").agg(F.max("score").alias("score")).groupBy("pattern", "no").agg(
+            F.count("*").alias("known"), F.sum("score").alias("seeds")).where(F.col("known") >= settings.support)
+        scores = sure.join(sizes, "pattern").select(
             "pattern", "no", (F.col("seeds") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= settings.confidence)
         # an instance is wrong only if all its patterns are
         doubt = stage.again("graph", graph).where("no is null").drop("no").join(scores, "pattern").groupBy("value", "no").agg(
