@@ -137,10 +137,10 @@ def _features(rows: DataFrame, width: int) -> DataFrame:
 def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: int = 20, seed: int = 42):
     """(doc_topics, topic_terms, perplexity): all k topics are kept for every document.
 
-    A round reads a twentieth of the documents, so 20 rounds are about one pass.
+    A round draws as many documents as there are, with replacement, so 20 rounds read each about 20 times.
     """
     data = materialize(_features(rows, width))
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0,
                 optimizeDocConcentration=alpha == "auto")
     if alpha == "asymmetric":
         prior = [1.0 / (n + np.sqrt(k)) for n in range(k)]
