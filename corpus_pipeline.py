@@ -8,19 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steadymap.llm import chunk_bpe, mixing, near_duplicates, pii, quality
+from steadymap.llm import chunk_bpe, mixing, pii, quality, simhash
 from steadymap.llm.common import Stage, read
 from steadymap.llm.queries import WORDS, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null and empty texts are scored as empty, repeated rows alike."""
     return quality.keep(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates (Jaccard similarity 0.8 of five-word shingles)."""
-    return near_duplicates.keep_first(docs)
+    """One document of every group of near duplicates: SimHash of three-word shingles, linked at two or fewer bits.
+
+    Null, empty and blank texts are one group; a group keeps its smallest doc_id, repeated rows stay once.
+    """
+    return simhash.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +32,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them; a null source is a source of its own."""
     return mixing.apply(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of ids, digest of the ids and of the decoded text for every row of the mix."""
+    """Number of ids, digest of the ids and of the decoded text for every row of the mix; a null text has no ids."""
     return chunk_bpe.digests(docs, vocabulary(WORDS))
 
 
