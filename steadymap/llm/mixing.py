@@ -157,10 +157,14 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def apply(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, 0 to ``most`` times, with all its columns."""
-    key = F.xxhash64("doc_id", "text")
-    copies = mix(docs.select(key.alias("doc_id"), "text", "source"), settings).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"))
-    # equal rows share a key and were counted together
-    once = docs.withColumn("_row", key).dropDuplicates(["_row"])
-    taken = once.join(copies.where("_copies > 0"), F.expr("_row = _key"))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """``docs`` with every row as often as the mix takes it, 0 to ``most`` times, with all its columns.
+
+    Rows equal in all columns are one row here and taken as often as they are together; rows that differ in any
+    column are kept apart. Null texts have size 0, a null source is a source of its own, an empty table stays empty.
+    """
+    key = F.xxhash64(*docs.columns)
+    copies = mix(docs.select(key.alias("doc_id"), "text", "source"), settings).groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"))
+    # the row travels as one struct, so no column of it can clash with the keys; two hashes tell rows apart
+    once = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(F.lit(settings.seed), *docs.columns).alias("other"))
+    taken = once.dropDuplicates(["key", "other"]).join(copies.where("copies > 0"), "key")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

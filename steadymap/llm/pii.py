@@ -181,10 +181,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with every span in its texts replaced by ``<kind>``; all rows and columns stay."""
-    found = find(docs, settings).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    text = F.col("text").cast("string")
-    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(text, F.lit("")))).join(
-        found.dropDuplicates(["_id", "_key"]), F.expr("cast(doc_id as long) <=> _id and _text_key = _key"), "left")
-    clean = F.when(F.col("_spans").isNotNull(), redacted(text, F.col("_spans"))).otherwise(text)
-    return joined.withColumn("text", clean).select(*docs.columns)
+    """``docs`` with every span in its texts replaced by ``<kind>``; all rows and columns stay.
+
+    Null and empty texts stay as they are, repeated rows are redacted alike, an empty table stays empty.
+    """
+    found = find(docs, settings).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
+    # the row travels as one struct, so no column of it can clash with the keys
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    joined = rows.alias("r").join(found.alias("f"), F.expr("r.id <=> f.doc_id and r.key = f.key"), "left")
+    text = F.col("row.text").cast("string")
+    clean = F.when(F.col("spans").isNotNull(), redacted(text, F.col("spans"))).otherwise(text)
+    return joined.select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -217,5 +217,7 @@ def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``grouped`` (doc_id, component_id, key) has as the first of their group."""
     chosen = grouped.where("doc_id <=> component_id").select("doc_id", "key").distinct()
     key = text_key(F.col("text").cast("string"))
-    kept = docs.withColumn("_key", key).alias("d").join(chosen.alias("c"), F.expr("cast(d.doc_id as long) <=> c.doc_id and d._key = c.key"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    # the row travels as one struct, so no column of it can clash with the keys
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    kept = rows.alias("d").join(chosen.alias("c"), F.expr("d.id <=> c.doc_id and d.key = c.key"), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

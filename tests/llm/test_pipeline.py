@@ -88,6 +88,18 @@ def test_token_stage(stages):
     assert rows(stages[5]) == sorted(want, key=str)
 
 
+def test_clashing_columns_and_equal_ids(spark):
+    rows = [(1, "a b c", "en", "a", 5, 1, 2, 3), (1, "a b c", "en", "b", 5, 1, 2, 3), (2, "call +49 30 1234567 now", "en", "b", 23, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key int, _id int, _row int")
+    assert rows[:1] + rows[2:] == sorted(tuple(r) for r in cp.drop_near_duplicates(spark, docs.where("source = 'a' or doc_id = 2"), SF).collect())
+    clean = cp.redact_personal_data(spark, docs, SF)
+    assert clean.columns == docs.columns and {(r._key, r._id, r._row) for r in clean.collect()} == {(1, 2, 3), (4, 5, 6)}
+    assert [r.text for r in clean.where("doc_id = 2").collect()] == ["call <phone> now"]
+    mixed = Counter(tuple(r) for r in cp.mix_sources(spark, docs, SF).collect())
+    wanted = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    assert set(mixed) <= set(rows) and mixed[rows[0]] and {r[3] for r in mixed} == {s for (_, s), c in wanted.items() if c}
+
+
 def test_odd_rows_pass_through(spark):
     odd = [(None, None), (None, "a b c"), (1, None), (1, "x y z"), (1, "x y z"), (2, ""), (3, "w " * 50_000), (4, "a@b.c called")]
     docs = spark.createDataFrame([(d, t, None, "s", 0, 1.5) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long, key double")
