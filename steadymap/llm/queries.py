@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymap.llm import chunk_bpe, hmm, langid, mixing, multi_index, nn_descent, pii, quality, rans, simhash
+from steadymap.llm import byte_bpe, chunk_bpe, hmm, langid, mixing, multi_index, nn_descent, pii, quality, rans, simhash
 from steadymap.llm.common import read
 
-BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTES, WORDS, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -75,7 +75,12 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids by the rank file, and of the bytes they decode to."""
+    return byte_bpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(RANKS))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op7_rans, op8_chunk_bpe, op9_nn_descent, op10_multi_index)}
+    op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op7_rans, op8_chunk_bpe, op9_nn_descent, op10_multi_index, op13_byte_bpe)}
 #: None of these results can be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = {}
