@@ -1,0 +1,13 @@
+"""Queries against their SQL in DuckDB."""
+
+import pytest
+
+from steadymap.llm.queries import ORACLES, QUERIES
+from tests.oracle import compare, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, connect(SF), QUERIES[name], ORACLES[name], SF) is None
