@@ -68,4 +68,23 @@ select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint bla
 from (select distinct conv_id from conversations) c left join sums s on s.conv_id is not distinct from c.conv_id
 left join best b on b.conv_id is not distinct from c.conv_id left join texts x on x.conv_id is not distinct from c.conv_id"""
 
-ORACLES: dict[str, str] = {"op12_block_repair": REPAIR}
+PHRASES = """with pieces as (select coalesce(lang, 'und') lang,
+  unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) p from documents),
+lists as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') w from pieces),
+runs as (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from lists, (select unnest(range(1, 6)) k) where len(w) >= k),
+counted as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) c from runs group by 1, 2, 3),
+sizes as (select lang, sum(c)::hugeint n from counted where k = 1 group by 1),
+found as (select *, string_split(phrase, ' ') w from counted where c >= 100),
+places as (select lang, c, w, k, unnest(range(1, k + 1)) i from found where k >= 3),
+subs as (select lang, c, array_to_string(w[i:i + m - 1], ' ') phrase from (select *, unnest(range(2, k)) m from places) where i + m - 1 <= k),
+covered as (select lang, phrase, max(c) longer from subs group by 1, 2),
+free as (select f.* from found f left join covered v using (lang, phrase) where k >= 2 and (longer is null or 100 * longer < 100 * c)),
+cuts as (select lang, phrase, c a, w, unnest(range(1, k)) j from free),
+halves as (select lang, phrase, a, j, array_to_string(w[:j], ' ') x, array_to_string(w[j + 1:], ' ') y from cuts),
+valued as (select h.*, f.c l, g.c r, n, (1000::hugeint * a * n) // (f.c::hugeint * g.c) score from halves h
+  join found f on f.lang = h.lang and f.phrase = x join found g on g.lang = h.lang and g.phrase = y join sizes s on s.lang = h.lang),
+lowest as (select * from valued qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from lowest)
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score from ranked where rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op11_dynamic_counting": PHRASES, "op12_block_repair": REPAIR}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadymap.llm import byte_bpe, chunk_bpe, hmm, langid, mixing, multi_index, nn_descent, oracles, pii, quality, rans, repair, simhash
+from steadymap.llm import byte_bpe, chunk_bpe, hmm, langid, mixing, multi_index, nn_descent, oracles, phrases, pii, quality, rans, repair, simhash
 from steadymap.llm.common import read
 
 BYTES, WORDS, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -75,6 +75,11 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
+def op11_dynamic_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op12_block_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation."""
     return repair.repair(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
@@ -86,6 +91,6 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op7_rans, op8_chunk_bpe, op9_nn_descent, op10_multi_index, op12_block_repair, op13_byte_bpe)}
+    op1_hmm_score, op2_language, op3_simhash, op4_quality, op5_pii, op6_mixing, op7_rans, op8_chunk_bpe, op9_nn_descent, op10_multi_index, op11_dynamic_counting, op12_block_repair, op13_byte_bpe)}
 #: Other results cannot be written in SQL; ``tests/llm`` holds them against brute force.
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
