@@ -12,6 +12,7 @@ well and below the threshold. The table's size is a parameter, so what is broadc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,9 +42,9 @@ class Settings:
     longest: int = 5
     least: int = 100
     top: int = 2000
-    shards: int = 3
+    shards: int = 2
     bits: int = 25
-    block: int = 6_000_000
+    block: int = 12_000_000
     groups: int = 64
 
 
@@ -165,10 +166,11 @@ class Counter:
 
 def scanned(shard: DataFrame, table: np.ndarray, scan: int, settings: Settings):
     """lang, k, phrase, c of the active phrases of a shard, and the broadcast table."""
-    shared = shard.sparkSession.sparkContext.broadcast(table.tobytes())
+    # mostly empty places: a small part of the table's size travels
+    shared = shard.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(np.frombuffer(shared.value, np.uint8), scan, settings)
+        counter = Counter(np.frombuffer(zlib.decompress(shared.value), np.uint8), scan, settings)
         languages, texts, size = [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
