@@ -10,8 +10,11 @@ from steadymap.catalog.common import (
     table)
 from steadymap.functions.scoring import combined_scores
 from steadymap.operators import classes, local, scores, shape
+from steadymap.operators.lsh import approx_knn, recall
 from steadymap.operators.neighbours import knn, neighbour_ranks
+from steadymap.operators.pivots import Index, visited
 from steadymap.operators.pairs import pair_moments, pair_spearman
+from steadymap.session import materialize
 
 
 def _local_sql(*cols):
@@ -33,6 +36,33 @@ def knn_query(spark, sf):
     return rounded(near.select("i", "j", F.col("r").cast("long").alias("r"), "d"))
 
 
+@query("knn_pivots", """
+with p as (select vec_id i, embedding[1]::double x, embedding[2]::double y from embeddings),
+d as (select a.i, b.i j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) d from p a join p b on a.i<>b.i),
+r as (select *, row_number() over (partition by i order by d, j) r from d)
+select i, j, r::bigint r, round(d, 6) d from r where r <= 7""")
+def knn_pivots(spark, sf):
+    """Neighbours in a layout, where the pivot index leaves most cells out."""
+    points = layout(spark, sf).select("space", "id", F.array("x", "y").alias("v"))
+    near = knn(points, 7, index=Index(cell=128))
+    return rounded(near.select("i", "j", F.col("r").cast("long").alias("r"), "d"))
+
+
+@query("pivot_visits", "select 'pair0' space, count(*)::bigint points, true saved from embeddings")
+def pivot_visits(spark, sf):
+    """Whether the index visits under half of the cells of a layout."""
+    points = layout(spark, sf).select("space", "id", F.array("x", "y").alias("v"))
+    return visited(points, 7, index=Index(cell=64)).select("space", "points", (F.col("visited") * 2 < F.col("possible")).alias("saved"))
+
+
+@query("knn_approx", "select 'pair0' space, 7 * count(*)::bigint pairs, true reached from embeddings")
+def knn_approx(spark, sf):
+    """Whether projection buckets find nine of ten neighbours in the source space."""
+    points = materialize(source_space(spark, sf).drop("label"))
+    met = recall(approx_knn(points, 7), knn(points, 7))
+    return met.select("space", "pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("rank_lookup", f"""with {pairs_cte()}
 select i, j, r1::bigint r1, r2::bigint r2 from r where r1 <= 7 or r2 <= 7""")
 def rank_lookup(spark, sf):

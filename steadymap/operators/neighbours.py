@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steadymap.functions.distance import BlockDistance, SparseBlock, count_closer, nearest, stack
+from steadymap.operators import pivots
 from steadymap.operators.blocks import pair_blocks, row_chunks
+from steadymap.operators.pivots import Index
 
 
 def _part(block, rows: slice):
@@ -49,6 +51,25 @@ def _candidates(points, vectors, k, block_rows):
     return pair_blocks(points, run, schema, block_rows=block_rows)
 
 
+def best_lists(dist: BlockDistance, row_ids, col_ids, k: int, labels=None) -> dict:
+    """Per row the ids, distances and labels of its k nearest columns, nearest first."""
+    r, c, d = nearest(dist, dist.matrix(), row_ids, col_ids, k)
+    ends = np.searchsorted(r, np.arange(len(row_ids) + 1))
+    cut = lambda values: [values[a:b] for a, b in zip(ends, ends[1:])]
+    out = {"js": cut(col_ids[c]), "ds": cut(d)}
+    return out if labels is None else {**out, "ls": cut(labels[c])}
+
+
+def merged(lists: DataFrame, k: int, labelled: bool = False) -> DataFrame:
+    """(space, i, j, d, r) of the k best in all lists of a point; a neighbour that several lists have counts once."""
+    fields = [F.col("ds").alias("d"), F.col("js").alias("j")] + ([F.col("ls").alias("label_j")] if labelled else [])
+    entry = F.arrays_zip(*fields)
+    best = lists.select("space", "i", entry.alias("e")).groupBy("space", "i").agg(
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))), 1, k).alias("e"))
+    return best.select("space", "i", F.posexplode("e").alias("r", "e")).select(
+        "space", "i", "e.j", "e.d", (F.col("r") + 1).alias("r"), *(["e.label_j"] if labelled else []))
+
+
 def _top_k(points, vectors, k, block_rows):
     cand = _candidates(points, vectors, k, block_rows)
     own = F.element_at(
@@ -64,12 +85,32 @@ def _top_k(points, vectors, k, block_rows):
 
 
 def knn(points: DataFrame, k: int = 7, metric: str = "euclidean", vector: str = "v",
-        block_rows: int | None = None) -> DataFrame:
-    """(space, i, j, d, r): the k nearest other points of every point."""
-    return _top_k(points, [(vector, metric)], k, block_rows).select(
-        "space", "i", "j", F.col("d0").alias("d"), "r", *(
-            ["label_j"] if "label" in points.columns else [])
-    )
+        block_rows: int | None = None, index: Index | None = None) -> DataFrame:
+    """(space, i, j, d, r): the k nearest other points of every point.
+
+    With an ``index`` (``pivots.Index``) only cells that can hold a neighbour are searched, which pays where points
+    lie in few dimensions or in groups; the rows are the same. Its pivots have to fit into a broadcast of a
+    checked size, else all blocks are searched.
+    """
+    near = pivots.pivot_knn(points, k, metric, vector, index) if index is not None else None
+    if near is not None:
+        return near
+    labelled = "label" in points.columns
+    label = points.schema["label"].dataType.simpleString() if labelled else None
+
+    def run(key, left, right, _):
+        # a point leaves a block pair as one row, its k best as arrays
+        labels = right["label"].to_numpy() if labelled else None
+        out = []
+        for rows, (dist,) in distances(left, right, [(vector, metric)]):
+            ids = left["id"].to_numpy()[rows]
+            lists = best_lists(dist, ids, right["id"].to_numpy(), k, labels)
+            out.append(pd.DataFrame({"space": [key[0]] * len(ids), "i": ids, **lists}))
+        return pd.concat(out)
+
+    schema = f"space {points.schema['space'].dataType.simpleString()}, i long, js array<long>, ds array<double>"
+    lists = pair_blocks(points, run, schema + (f", ls array<{label}>" if labelled else ""), block_rows=block_rows)
+    return merged(lists, k, labelled)
 
 
 def neighbour_ranks(points: DataFrame, k: int = 7, metrics=("euclidean", "euclidean"),
