@@ -8,8 +8,6 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from steadymap.operators.neighbours import knn
@@ -18,7 +16,6 @@ from steadymap.session import materialize, parallelism
 
 EPS = 1e-12
 MAX_TOP_WORDS = 100_000
-MAX_FACTOR_CELLS = 50_000_000
 
 
 def window_counts(token_lists: DataFrame, topic_words: DataFrame, size: int | None) -> DataFrame:
@@ -153,87 +150,141 @@ def lda(rows: DataFrame, width: int, k: int, alpha: str = "auto", iterations: in
     return docs, terms, 2.0 ** fitted.logPerplexity(data)
 
 
-def lsi(rows: DataFrame, width: int, k: int):
-    """(doc_topics, topic_terms): projections on the k leading term directions.
+def _entries(rows: DataFrame) -> DataFrame:
+    """(doc_id, term_id, val) of struct<idx, val> rows."""
+    return rows.select("doc_id", F.explode(F.arrays_zip(F.col("v.idx").alias("term_id"), F.col("v.val").alias("val"))).alias("e")).select(
+        "doc_id", F.col("e.term_id").cast("long").alias("term_id"), F.col("e.val").cast("double").alias("val"))
+
+
+def _times(entries: DataFrame, factors: DataFrame, by: str, to: str, k: int) -> DataFrame:
+    """(to, f0 ... ): the sparse table times a factor table keyed by ``by``, as a join and sums."""
+    return entries.join(factors, by).groupBy(to).agg(*[F.sum(F.col("val") * F.col(f"f{t}")).alias(f"f{t}") for t in range(k)])
 
-    The sign of a direction makes its largest entry positive.
-    """
-    data = rows.select("doc_id", "v.idx", "v.val")
-    vectors = data.rdd.map(lambda r: OldVectors.sparse(width, r["idx"], r["val"]))
-    svd = RowMatrix(vectors, numCols=width).computeSVD(k)
-    basis = svd.V.toArray()
-    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(basis)  # vocabulary x k, already on the driver
+
+def _gram(factors: DataFrame, k: int, other: str = "f") -> np.ndarray:
+    """k x k sums of products of a factor table's columns: all that reaches the driver."""
+    left, right = [f"f{i}" for i in range(k)], [f"{other}{i}" for i in range(k)]
+    i, j = (x.ravel() for x in np.indices((k, k)))
 
     def run(batches):
+        total = np.zeros((k, k))
         for pdf in batches:
-            parts = [shared.value[i].T @ v for i, v in zip(pdf["idx"], pdf["val"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "w": parts})
+            total += pdf[left].to_numpy().T @ pdf[right].to_numpy()
+        yield pd.DataFrame({"i": i, "j": j, "x": total.ravel()})
+
+    parts = factors.select(*dict.fromkeys(left + right)).mapInPandas(run, "i int, j int, x double")
+    got, out = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas(), np.zeros((k, k))
+    out[got["i"], got["j"]] = got["x"]
+    return out
+
+
+def _mapped(factors: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """Every row's factors times a small matrix; numbers in the plan would be compiled anew every round."""
+    k, to = matrix.shape
+    names = [f"f{j}" for j in range(to)]
+
+    def run(batches):
+        for pdf in batches:
+            out = pd.DataFrame(pdf[[f"f{i}" for i in range(k)]].to_numpy() @ matrix, columns=names)
+            out.insert(0, key, pdf[key].to_numpy())
+            yield out
+
+    kind = factors.schema[key].dataType.simpleString()
+    return factors.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+
 
-    docs = data.mapInPandas(run, "doc_id long, w array<double>").select(
-        "doc_id", F.posexplode("w").alias("topic", "p"))
-    terms = [(t, n, float(basis[n, t])) for t in range(basis.shape[1]) for n in range(width)]
-    return docs, spark.createDataFrame(pd.DataFrame(terms, columns=["topic", "term_id", "weight"]))
+def _orthonormal(factors: DataFrame, key: str, k: int) -> DataFrame:
+    """The tall table with orthonormal columns, by two rounds of Cholesky QR; directions without length become zero."""
+    for _ in range(2):
+        gram = _gram(factors, k)
+        values, vectors = np.linalg.eigh(gram)
+        fine = values > max(values.max(), 0.0) * 1e-14
+        scale = np.where(fine, 1.0 / np.sqrt(np.where(fine, values, 1.0)), 0.0)
+        factors = _mapped(factors, key, vectors * scale)
+    return materialize(factors)
+
+
+def lsi(rows: DataFrame, width: int, k: int, power_iters: int = 20, extra_samples: int = 10, seed: int = 42, tolerance: float = 1e-9):
+    """(doc_topics, topic_terms): projections on the k leading term directions.
+
+    A randomised range finder: the table times ``k + extra_samples`` seeded sign vectors, then power rounds until the
+    k squared singular values move by less than ``tolerance`` of themselves, at most ``power_iters``. Factors are tables
+    keyed by document or term, products are joins and sums; only small square matrices reach the driver. The sign of a
+    direction makes its largest entry positive.
+    """
+    docs, terms, _ = lsi_factors(rows, width, k, power_iters, extra_samples, seed, tolerance)
+    long = lambda df, key, name: df.select(key, F.posexplode(F.array(*[f"f{t}" for t in range(k)])).alias("topic", name))
+    every = rows.select("doc_id").distinct().join(docs, "doc_id", "left").fillna(0.0)
+    return long(every, "doc_id", "p"), long(terms, "term_id", "weight").select("topic", "term_id", "weight")
+
+
+def lsi_factors(rows: DataFrame, width: int, k: int, power_iters: int = 20, extra_samples: int = 10, seed: int = 42, tolerance: float = 1e-9):
+    """(documents, terms, singular values): tables of factors f0 ... per doc_id and term_id."""
+    size = min(k + extra_samples, width)
+    entries = materialize(_entries(rows))
+    sign = lambda t: F.when(F.xxhash64("term_id", F.lit(t), F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0).alias(f"f{t}")
+    start = entries.select("term_id").distinct().select("term_id", *[sign(t) for t in range(size)])
+    tall = materialize(_times(entries, start, "term_id", "doc_id", size))
+    before = None
+    for _ in range(max(1, power_iters)):
+        tall = _orthonormal(tall, "doc_id", size)
+        short = materialize(_times(entries, tall, "doc_id", "term_id", size))
+        values, vectors = np.linalg.eigh(_gram(short, size))
+        values, vectors = values[::-1], vectors[:, ::-1]
+        if before is not None and np.all(np.abs(values[:k] - before) <= tolerance * np.maximum(values[0], 1e-300)):
+            break
+        before = values[:k]
+        tall = materialize(_times(entries, short, "term_id", "doc_id", size))
+    singular = np.sqrt(np.maximum(values[:k], 0.0))
+    inverse = np.where(singular > singular.max(initial=0.0) * 1e-7, 1.0 / np.where(singular > 0, singular, 1.0), 0.0)
+    terms = materialize(_mapped(short, "term_id", vectors[:, :k] * inverse))
+    heads = terms.agg(*[F.max_by(f"f{t}", F.struct(F.abs(f"f{t}"), -F.col("term_id"))) for t in range(k)]).first()
+    signs = np.array([-1.0 if h is not None and h < 0 else 1.0 for h in heads])
+    terms = _mapped(terms, "term_id", np.diag(signs))
+    return _times(entries, terms, "term_id", "doc_id", k), terms, singular
 
 
 def nmf(rows: DataFrame, width: int, k: int, iterations: int = 200, seed: int = 42, tolerance: float = 1e-3):
     """(doc_topics, topic_terms, errors): multiplicative updates.
 
-    Rounds end when the error falls by less than ``tolerance`` of itself, or after ``iterations``.
-    Documents keep their weights in a table that is rewritten per round; the topic-term matrix
-    (vocabulary x k, checked) and the k x k Gram matrix are the only things on the driver.
+    Rounds end when the error falls by less than ``tolerance`` of itself, or after ``iterations``. Both factors are
+    tables, keyed by document and by term and rewritten per round; their products with the corpus are joins and
+    sums, and only k x k matrices are on the driver, so vocabulary and corpus may have any size.
     """
-    if width * k > MAX_FACTOR_CELLS:
-        raise ValueError("vocabulary x topics too large; raise the density filter")
-    spark = rows.sparkSession
-    h = np.random.default_rng(seed).random((k, width)) + 0.1
-    state = rows.select("doc_id", "v.idx", "v.val", F.transform(
-        F.sequence(F.lit(1), F.lit(k)), lambda t: hash_unit(F.col("doc_id").cast("string"), t.cast("string"), seed) + 0.1).alias("w"))
-    state = materialize(state.repartition(parallelism(rows), "doc_id"))
-    errors = []
-    for _ in range(iterations):
-        topics = spark.sparkContext.broadcast(h)
+    entries = materialize(_entries(rows))
+    whole = entries.agg(F.sum(F.col("val") * F.col("val"))).first()[0] or 0.0
+
+    def first(table, key):
+        return materialize(table.select(key).distinct().select(key, *[
+            (hash_unit(F.col(key).cast("string"), key, str(t + 1), seed) + 0.1).alias(f"f{t}") for t in range(k)]))
+
+    def update(factors, key, pulled, gram):
+        """factors * pulled / (factors x gram)"""
+        drawn = [f"p{t}" for t in range(k)]
 
-        def weights(batches, topics=topics):
-            gram = topics.value @ topics.value.T
+        def run(batches):
             for pdf in batches:
-                w = np.stack(pdf["w"].to_numpy())
-                xh = np.stack([topics.value[:, i] @ v for i, v in zip(pdf["idx"], pdf["val"])])
-                pdf["w"] = list(w * xh / (w @ gram + EPS))
+                f, p = pdf[names].to_numpy(), pdf[drawn].to_numpy()
+                pdf[names] = f * p / (f @ gram + EPS)
                 yield pdf
 
-        def sums(batches, topics=topics):
-            h = topics.value
-            up, gram, error = np.zeros((k, width)), np.zeros((k, k)), 0.0
-            hh = h @ h.T
-            for pdf in batches:
-                for w, i, v in zip(pdf["w"], pdf["idx"], pdf["val"]):
-                    fit = w @ h[:, i]
-                    error += ((v - fit) ** 2).sum() + w @ hh @ w - (fit ** 2).sum()
-                    up[:, i] += np.outer(w, v)
-                    gram += np.outer(w, w)
-            t, n = np.nonzero(up)
-            a, b = np.nonzero(gram)
-            yield pd.DataFrame({"kind": 0, "t": t, "n": n, "x": up[t, n]})
-            yield pd.DataFrame({"kind": 1, "t": a, "n": b, "x": gram[a, b]})
-            yield pd.DataFrame({"kind": [2], "t": [0], "n": [0], "x": [error]})
-
-        state = materialize(state.mapInPandas(weights, state.schema))
-        total = state.mapInPandas(sums, "kind int, t long, n long, x double").groupBy(
-            "kind", "t", "n").agg(F.sum("x").alias("x")).toPandas()
-        up, gram = np.zeros((k, width)), np.zeros((k, k))
-        for kind, target in ((0, up), (1, gram)):
-            part = total[total["kind"] == kind]
-            target[part["t"], part["n"]] = part["x"]
-        errors.append(float(total.loc[total["kind"] == 2, "x"].iloc[0]))
-        h = h * up / (gram @ h + EPS)
+        met = factors.join(pulled.withColumnsRenamed(dict(zip(names, drawn))), key, "left").fillna(0.0)
+        return materialize(met.mapInPandas(run, met.schema))
+
+    names = [f"f{t}" for t in range(k)]
+    weights, topics, errors = first(rows, "doc_id"), first(entries, "term_id"), []
+    topic_gram = _gram(topics, k)
+    for _ in range(iterations):
+        weights = update(weights, "doc_id", _times(entries, topics, "term_id", "doc_id", k), topic_gram)
+        gram, cross = _gram(weights, k), float(np.trace(_gram(weights, k, "p")))
+        errors.append(whole - 2.0 * cross + float((gram * topic_gram).sum()))
         if len(errors) > 1 and errors[-2] - errors[-1] < tolerance * errors[-2]:
             break
-    docs = state.select("doc_id", F.posexplode("w").alias("topic", "p"))
-    t, n = np.nonzero(h >= 0)
-    terms = spark.createDataFrame(pd.DataFrame({"topic": t, "term_id": n, "weight": h[t, n]}))
-    return docs, terms, errors
+        weights = weights.select("doc_id", *names)
+        topics = update(topics, "term_id", _times(entries, weights, "doc_id", "term_id", k), gram).select("term_id", *names)
+        topic_gram = _gram(topics, k)
+    docs = weights.select("doc_id", F.posexplode(F.array(*names)).alias("topic", "p"))
+    return docs, topics.select("term_id", F.posexplode(F.array(*names)).alias("topic", "weight")).select("topic", "term_id", "weight"), errors
 
 
 def word2vec(token_lists: DataFrame, size: int, seed: int = 42) -> DataFrame:
