@@ -12,17 +12,9 @@ import os
 import re
 import sys
 from array import array
-from functools import lru_cache
 from itertools import islice
 
-import numpy as np
-
 CACHE = 600_000
-JOINED = 1000  # pieces per call where many are encoded as one text
-#: Fixed value: the byte-level vocabulary's letter for a space.
-SPACE = "\u0120"
-#: White space that splitting at single spaces would cut into several tokens.
-RUN = re.compile(r"\s \s|\s \Z")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -85,74 +77,6 @@ class Encoder:
         return b"".join(got)
 
 
-@lru_cache(maxsize=1)
-def shared(kind: type[Encoder], path: str) -> Encoder:
-    """The encoder of a worker process, so that its later tasks find the pieces of the earlier ones."""
-    return kind(path)
-
-
-class ByteEncoder(Encoder):
-    """For the byte-level vocabulary: a space belongs to the word after it."""
-
-    before = " "
-
-    def add(self, pieces: list[str]) -> None:
-        # a mark after a letter is a token sequence of its own, so words with and without it share their ids
-        cache, bare, marked = self.cache, {}, []
-        for p in pieces:
-            if len(p) > 1 and p[-1] in ",." and p[-2].isalpha():
-                marked.append(p)
-                p = p[:-1]
-            if p not in cache:
-                bare[p] = None
-        self.add_joined(list(bare))
-        cache = self.cache  # it may be another one now
-        for p in marked:
-            if (ids := cache.get(p[:-1])) is not None:
-                cache[p] = ids + self.mark(p[-1])
-
-    def add_joined(self, pieces: list[str]) -> None:
-        """Encode many pieces by one call: a piece's ids begin where an id stands for a text with a space in front.
-
-        Calls with a piece that holds white space itself, or whose ids begin at more or fewer places, go piece by piece.
-        """
-        self.make_room(len(pieces))
-        for at in range(0, len(pieces), JOINED):
-            cut = pieces[at : at + JOINED]
-            text = " ".join(cut)
-            if len(cut) < 2 or text.split() != cut:
-                super().add(cut)
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u2")
-            begins = np.flatnonzero(self.spaced[ids])
-            if len(begins) != len(cut) or begins[0]:
-                super().add(cut)
-                continue
-            raw, ends = ids.tobytes(), (2 * begins).tolist() + [2 * len(ids)]
-            self.cache.update(zip(cut, [raw[a:b] for a, b in zip(ends, ends[1:])]))
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self.whole(mark)
-        return self.marks[mark]
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.marks: dict[str, bytes] = {}
-        self.spaced = np.zeros(1 << 16, bool)  # ids that stand for a text with a space in front
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
-
-    def pieces(self, text: str) -> list[str] | None:
-        return text.split(" ")
-
-    def encode(self, text: str) -> bytes:
-        # no space stands before the first piece
-        first, _, rest = text.partition(" ")
-        if not _ or RUN.search(text):
-            return self.whole(text)
-        return (self.whole(first) if first else b"") + super().encode(rest)
-
-
 class WordEncoder(Encoder):
     """For the vocabulary with word ends: white space is dropped."""
 

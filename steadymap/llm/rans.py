@@ -21,8 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadymap.llm import byte_bpe
 from steadymap.llm.common import Stage
-from steadymap.llm.pieces import ByteEncoder, shared
+from steadymap.llm.library_slices import shared_coder
 
 BITS = 20  # frequencies of a table sum to 1 << BITS
 LOW = 31  # a lane's state is at least 1 << LOW
@@ -143,16 +144,17 @@ def write(docs: DataFrame, vocabulary: str, path: str, settings: Settings = Sett
     """Encode every whole text, end it with ``end`` and write the files, in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    table = docs.sparkSession.sparkContext.broadcast(byte_bpe.classes().tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number, segment, inside = shared(ByteEncoder, vocabulary), TaskContext.get().partitionId(), 0, 0
+        coder, number, segment, inside = shared_coder(vocabulary, byte_bpe.Settings(store=600_000), table.value), TaskContext.get().partitionId(), 0, 0
         end = np.array([settings.end], "<u2").tobytes()
         docs: list[tuple] = []
         parts: list[bytes] = []
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.append(coder.encode(text.as_py()) + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(1).to_pylist())):
+                parts.append(ids + end)
                 docs.append((doc, len(parts[-1]) // 2))
                 held += docs[-1][1]
                 if held >= settings.segment:

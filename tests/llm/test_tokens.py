@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from steadymap.llm import chunk_bpe, pieces, rans
+from steadymap.llm import byte_bpe, chunk_bpe, library_slices, pieces, rans
 from steadymap.llm.queries import BYTES, WORDS, vocabulary
 
 
@@ -19,8 +19,25 @@ def texts():
     return out + ["", " ", "   ", "a   ", "   a", passage, "x " + passage, passage + " y", passage * 20, "word " * 40_000, "é" * 30_000]
 
 
-@pytest.mark.parametrize("name, kind", [(BYTES, pieces.ByteEncoder), (WORDS, pieces.WordEncoder)])
-def test_encoders_equal_the_library(name, kind, monkeypatch):
+@pytest.mark.parametrize("store, batch", [(600_000, 3_000_000), (40, 100)])
+def test_slices_equal_the_library(store, batch):
+    settings = byte_bpe.Settings(store=store, batch=batch, part=1000)
+    library, coder = Tokenizer.from_file(vocabulary(BYTES)), library_slices.LibraryCoder(vocabulary(BYTES), byte_bpe.classes(), settings)
+    some = texts()[: 1505 if store == 40 else None]
+    for t, ids in zip(some, coder.ids(some)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_slices_equal_the_library_in_all_of_unicode():
+    library, coder = Tokenizer.from_file(vocabulary(BYTES)), library_slices.LibraryCoder(vocabulary(BYTES), byte_bpe.classes())
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    some = [f"a{''.join(f'{c} {c}1' for c in points[k : k + 2000])}" for k in range(0, len(points), 2000)]
+    for t, ids in zip(some, coder.ids(some)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_encoders_equal_the_library(monkeypatch):
+    name, kind = WORDS, pieces.WordEncoder
     library, coder = Tokenizer.from_file(vocabulary(name)), kind(vocabulary(name))
     for limit in (pieces.CACHE, 40):
         monkeypatch.setattr(pieces, "CACHE", limit)
