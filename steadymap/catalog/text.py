@@ -162,6 +162,25 @@ def linear_combination(spark, sf):
     return rounded(vectors.linear_combination(doc_topics, topic_terms))
 
 
+@query("linear_combination_whole", f"""with {BOW_CTE},
+dt as (select doc_id, ascii(term) % 5 topic, sum(tf)/sum(sum(tf)) over (partition by doc_id) p from bow group by 1, 2),
+tt as (select ascii(term) % 5 topic, term, cf/sum(cf) over (partition by ascii(term) % 5) weight from dic)
+select doc_id, round(sqrt(sum(p*weight*p*weight)), 6) norm from dt join tt using (topic) group by 1""")
+def linear_combination_whole(spark, sf):
+    """Length of every document's combination over the whole vocabulary, without forming documents x vocabulary."""
+    from steadymap.operators.topics import combined_space
+
+    c = counts(spark, sf)
+    topic = (F.ascii("term") % 5).alias("topic")
+    total = c.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    doc_topics = c.groupBy("doc_id", topic).agg(F.sum("tf").alias("t")).join(total, "doc_id").select("doc_id", "topic", (F.col("t") / F.col("n")).alias("p"))
+    per_term = c.groupBy(topic, "term").agg(F.sum("tf").alias("t"))
+    per_topic = c.groupBy(topic).agg(F.sum("tf").alias("n"))
+    weights = per_term.join(per_topic, "topic").select("topic", "term", (F.col("t") / F.col("n")).alias("weight"))
+    space = combined_space(doc_topics, weights, 5)
+    return rounded(space.select("doc_id", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
+
+
 @query("dense_topic_rows", f"""with {BOW_CTE},
 dt as (select doc_id, ascii(term) % 5 topic, sum(tf)::double p from bow group by 1, 2)
 select b.doc_id, t.k::int topic, coalesce(p, 0.0)::double p

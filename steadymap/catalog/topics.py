@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from steadymap.catalog import query
 from steadymap.catalog.common import rounded, source_space
-from steadymap.catalog.text import CTFIDF_CTE, corpus, document_count, token_lists
+from steadymap.catalog.text import BOW_CTE, CTFIDF_CTE, corpus, document_count, token_lists
 from steadymap.operators import topics, vectors
 from steadymap.session import materialize
 
@@ -60,6 +60,32 @@ def coherence_cv(spark, sf):
     return rounded(topics.coherence_cv(*lang_topics(spark, sf)))
 
 
+def _mean(value, window, where):
+    return f"(select avg(c) from ({_window_sql(window)} select topic, avg({value}) c from m where {where} group by 1))"
+
+
+@query("model_quality", f"""select 'ctfidf' model_type, 4 n_topics, '' alpha_lda,
+  round({_mean('ln((c12/n + 1e-12)/(c2/n))', 1000000000, 'k1 > k2')}, 6) coherence_u_mass,
+  round((select avg(c) from ({_window_sql(110)}, s as (select topic, t2, sum(npmi) s from m group by 1, 2),
+    w as (select m.topic, t1, sum(npmi*s)/sqrt(sum(npmi*npmi)*sum(s*s)) c from m join s on s.topic=m.topic and s.t2=m.t2 group by 1, 2)
+    select topic, avg(c) c from w group by 1)), 6) coherence_c_v,
+  round({_mean('pmi', 10, 't1 <> t2')}, 6) coherence_c_uci, round({_mean('npmi', 10, 't1 <> t2')}, 6) coherence_c_npmi, -1.0::double perplexity""")
+def model_quality(spark, sf):
+    """The quality row that a topic model's evaluation appends."""
+    docs, words = lang_topics(spark, sf)
+    return rounded(topics.evaluate(docs, words, "ctfidf", 4))
+
+
+@query("space_tfidf", f"""with {BOW_CTE}, raw as (select doc_id, term, tf*log2(n/df) w from bow join dic using (term), nd),
+tfidf as (select doc_id, w / sqrt(sum(w*w) over (partition by doc_id)) w from raw where w <> 0)
+select doc_id, count(*)::bigint terms, round(sum(w * w), 6) length, round(max(w), 6) top from tfidf group by 1""")
+def space_tfidf(spark, sf):
+    """The tf-idf space by its name, summed up per document."""
+    rows = topics.build_space("tfidf", token_lists(spark, sf)).select("doc_id", F.col("v.val").alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)
+    return rounded(rows.select("doc_id", F.size("w").cast("long").alias("terms"), total.alias("length"), F.array_max("w").alias("top")))
+
+
 def _sparse(spark, sf):
     """Every document over the whole vocabulary."""
     docs = materialize(token_lists(spark, sf))

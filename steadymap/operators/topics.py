@@ -371,16 +371,66 @@ def extreme_topics(priors: DataFrame, n: int) -> DataFrame:
     return low.union(high).distinct()
 
 
-def build_space(name: str, token_lists: DataFrame, rows: DataFrame, width: int, k: int) -> DataFrame:
-    """(doc_id, v) of a named model; topic models keep all k topics."""
+def combined_space(doc_topics: DataFrame, topic_terms: DataFrame, k: int) -> DataFrame:
+    """(doc_id, v): k numbers a document whose lengths, products and distances are those of the linear combinations.
+
+    A linear combination has a weight for every term of the vocabulary, Σ p(topic | doc) · weight(topic, term). All
+    of them lie in the space the k topics span, so documents x vocabulary is never formed: with R Rᵀ the products of
+    the topics over the whole vocabulary, p · R has the same geometry. No term is left out.
+    """
     from steadymap.operators.vectors import dense_rows
 
+    one = lambda t: F.sum(F.when(F.col("topic") == t, F.col("weight")).otherwise(0.0)).alias(f"f{t}")
+    gram = _gram(topic_terms.groupBy("term").agg(*[one(t) for t in range(k)]), k)
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors * np.sqrt(np.maximum(values, 0.0))
+    rows = dense_rows(doc_topics.select("doc_id", F.col("topic").cast("int").alias("topic"), "p"), k)
+    axis = lambda j: sum((F.col("v")[t] * float(root[t, j]) for t in range(k)), F.lit(0.0))
+    return rows.select("doc_id", F.array(*[axis(j) for j in range(k)]).alias("v"))
+
+
+#: Names of the spaces of the study.
+SPACES = ("bow", "tfidf", "lda", "lda_linear_combined", "lsi", "lsi_linear_combined", "lsi_tfidf", "lsi_linear_combined_tfidf", "nmf",
+          "nmf_linear_combined", "nmf_tfidf", "nmf_linear_combined_tfidf", "bert", "doc2vec")
+
+
+def build_space(name: str, token_lists: DataFrame, k: int = 5, encoder=hashed_ngrams, **params) -> DataFrame:
+    """(doc_id, v) of a named space: sparse rows for ``bow`` and ``tfidf``, k numbers otherwise.
+
+    ``tfidf`` in the name of a topic model trains it on weighted rows. ``linear_combined`` gives ``combined_space``,
+    the geometry of the whole combination. ``bert`` encodes texts by the caller's encoder (hashed n-grams by
+    default). ``params`` go to the topic model.
+    """
+    from steadymap.operators import vectors
+
+    if name not in SPACES:
+        raise ValueError(f"unknown space {name!r}")
+    if name == "doc2vec":
+        return word2vec(token_lists, k, **params)
+    if name == "bert":
+        return embed(token_lists.select("doc_id", F.array_join("tokens", " ").alias("text")), encoder)
+    counts = materialize(vectors.bow(token_lists))
+    terms = materialize(vectors.dictionary(counts))
+    if "tfidf" in name:
+        weighted = vectors.tfidf(counts, token_lists.select("doc_id").distinct().count())
+        rows = vectors.sparse_rows(weighted, terms, "w")
+    else:
+        rows = vectors.sparse_rows(counts, terms)
     if name in ("bow", "tfidf"):
         return rows
-    if name == "doc2vec":
-        return word2vec(token_lists, k)
-    makers = {"lda": lambda: lda(rows, width, k)[0], "lsi": lambda: lsi(rows, width, k)[0],
-              "nmf": lambda: nmf(rows, width, k)[0]}
-    if name not in makers:
-        raise ValueError(f"unknown model {name!r}")
-    return dense_rows(makers[name](), k)
+    rows = materialize(rows)
+    train = {"lda": lda, "lsi": lsi, "nmf": nmf}[name.split("_")[0]]
+    doc_topics, topic_terms = train(rows, terms.count(), k, **params)[:2]
+    if "linear_combined" not in name:
+        return vectors.dense_rows(doc_topics.select("doc_id", F.col("topic").cast("int").alias("topic"), "p"), k)
+    return combined_space(doc_topics, topic_terms.select("topic", F.col("term_id").alias("term"), "weight"), k)
+
+
+def evaluate(token_lists: DataFrame, topic_words: DataFrame, model_type: str, n_topics: int, alpha: str = "",
+             perplexity: float = -1.0) -> DataFrame:
+    """The quality row of a topic model: four coherences, each the mean over its topics, and the perplexity (-1: none)."""
+    row = token_lists.sparkSession.createDataFrame([(model_type, n_topics, alpha)], "model_type string, n_topics int, alpha_lda string")
+    for name, of in (("u_mass", coherence_umass), ("c_v", coherence_cv), ("c_uci", coherence_uci), ("c_npmi", coherence_npmi)):
+        # one row each
+        row = row.join(F.broadcast(of(token_lists, topic_words).agg(F.avg("coherence").alias(f"coherence_{name}"))))
+    return row.withColumn("perplexity", F.lit(float(perplexity)))

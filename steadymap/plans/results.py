@@ -217,9 +217,18 @@ def improvements(rows: DataFrame, treatment: str) -> DataFrame:
 def binomial_tail(hits: pd.Series, samples: pd.Series) -> pd.Series:
     """P(X >= hits) for X ~ Binomial(samples, 1/2), one value per result row."""
 
+    def upper(k, n):
+        # from k > n / 2 on, terms fall; whole numbers, each stepped from the last, until no double can tell the rest
+        term, total = math.comb(n, k) if k <= n else 0, 0
+        while term and term * (n - k + 1) << 80 > total:
+            total += term
+            term, k = term * (n - k) // (k + 1), k + 1
+        return total
+
     def tail(k, n):
-        # whole numbers: rounding a tail must not depend on how its terms were summed
-        return sum(math.comb(n, i) for i in range(max(k, 0), n + 1)) / 2**n
+        k = max(k, 0)
+        whole = 1 << n
+        return (upper(k, n) if 2 * k > n else whole - upper(n - k + 1, n)) / whole
 
     return pd.Series([tail(int(k), int(n)) for k, n in zip(hits, samples)])
 

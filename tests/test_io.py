@@ -108,6 +108,13 @@ def test_binomial_tail():
 
     got = results.binomial_tail(pd.Series([0, 3, 5]), pd.Series([5, 5, 5]))
     assert got.tolist() == pytest.approx([1.0, 0.5, 1 / 32])
+    import math
+
+    for n in (1, 2, 7, 60, 421, 1500):
+        ks = sorted({0, 1, n // 3, n // 2, n // 2 + 1, 2 * n // 3, n - 1, n, n + 1})
+        want = [sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n for k in ks]
+        assert results.binomial_tail(pd.Series(ks), pd.Series([n] * len(ks))).tolist() == want
+    assert 0 < results.binomial_tail(pd.Series([5100]), pd.Series([10_000]))[0] < 0.05
 
 
 def test_equal_rows_stay_different_documents(spark, tmp_path):
