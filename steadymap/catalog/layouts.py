@@ -8,6 +8,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import (
     GLOBAL_CTE, LOCAL_CTE, PROCRUSTES_CTE, layout, layout_pairs, pairs_cte, rounded, source_space,
     table)
+from steadymap.functions.distance import METRICS, column_distance
 from steadymap.functions.scoring import combined_scores
 from steadymap.operators import classes, local, scores, shape
 from steadymap.operators.lsh import approx_knn, recall
@@ -63,6 +64,24 @@ def knn_approx(spark, sf):
     return met.select("space", "pairs", (F.col("recall") >= 0.9).alias("reached"))
 
 
+@query("column_distances", """
+with h as (select vec_id, list_transform(embedding[1:32], lambda x: case when vec_id % 97 = 0 then 0.0 else abs(x)::double end) a,
+  list_transform(embedding[33:64], lambda x: abs(x)::double) b from embeddings),
+m as (select *, list_sum(a) sa, list_sum(b) sb from h),
+e as (select m.*, unnest(a) x, unnest(b) y from m),
+g as (select vec_id, sum((x-y)*(x-y)) sq, sum(x*y) xy, sum(x*x) xx, sum(y*y) yy,
+  sum(case when x > 0 then x/sa * ln(x/sa) else 0 end / 2 + case when y > 0 then y/sb * ln(y/sb) else 0 end / 2
+    - case when x/sa + y/sb > 0 then (x/sa + y/sb)/2 * ln((x/sa + y/sb)/2) else 0 end) js, any_value(sa) sa from e group by 1)
+select vec_id, round(sqrt(sq), 6) euclidean, case when xx > 0 then round(1 - xy/sqrt(xx)/sqrt(yy), 6) end cosine,
+  case when sa > 0 then round(sqrt(greatest(js, 0)), 6) end jensenshannon from g""")
+def column_distances(spark, sf):
+    """All distances as native expressions, between the halves of every vector; some halves have no mass."""
+    half = lambda lo: F.transform(F.slice("embedding", lo, 32), lambda x: F.abs(x.cast("double")))
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 97 == 0, F.transform(half(1), lambda x: F.lit(0.0))).otherwise(half(1)).alias("a"), half(33).alias("b"))
+    return rounded(rows.select("vec_id", *[column_distance(F.col("a"), F.col("b"), m).alias(m) for m in METRICS]))
+
+
 @query("rank_lookup", f"""with {pairs_cte()}
 select i, j, r1::bigint r1, r2::bigint r2 from r where r1 <= 7 or r2 <= 7""")
 def rank_lookup(spark, sf):

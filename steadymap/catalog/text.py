@@ -128,6 +128,21 @@ def ctfidf_topwords(spark, sf):
     return rounded(topic_words(spark, sf, 20))
 
 
+@query("ctfidf_ngrams", f"""with {TOKENS_CTE}, lt as (select lang topic, tokens w from pre),
+gr as (select topic, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k+1]))) term from lt),
+pt as (select topic, term, count(*) c from gr group by 1, 2),
+nd as (select count(*)::double n from pre where len(tokens) > 0),
+ct as (select topic, term, c/sum(c) over (partition by topic) * ln(n/sum(c) over (partition by term)) weight from pt, nd),
+rw as (select *, row_number() over (partition by topic order by round(weight, 9) desc, term) r from ct)
+select topic, r::int as rank, term word, round(weight, 6) weight from rw where r <= 20""")
+def ctfidf_ngrams(spark, sf):
+    """The heaviest words and word pairs of every language."""
+    docs = materialize(vectors.ngrams(token_lists(spark, sf), 1, 2))
+    c = materialize(vectors.bow(docs))
+    weights = vectors.class_tfidf(c, docs.select("doc_id", F.col("category").alias("topic")), document_count(c))
+    return rounded(vectors.top_words(weights, 20))
+
+
 @query("topic_word_pivot", f"""with {CTFIDF_CTE},
 lt as (select lang topic, term, sum(tf) c from bow join pre using (doc_id) group by 1, 2),
 lc as (select topic, term, c/sum(c) over (partition by topic) * ln(n/sum(c) over (partition by term)) weight from lt, nd),

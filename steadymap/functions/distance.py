@@ -9,6 +9,7 @@ the points were blocked.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column, functions as F
 
 METRICS = ("euclidean", "cosine", "jensenshannon")
 NARROW = 4
@@ -200,3 +201,30 @@ def count_closer(dist: BlockDistance, full, row_ids, col_ids, rows, ids, targets
         hit = (d < targets[n]) | ((d == targets[n]) & (col_ids[c] < ids[n]))
         out += np.bincount(n, weights=hit, minlength=len(rows)).astype("int64")
     return out
+
+
+def column_distance(a: Column, b: Column, metric: str) -> Column:
+    """The distance of two array columns as a native expression, added up component by component.
+
+    NULL where there is none: cosine of a vector without length, jensenshannon of one without mass, vectors that
+    are NULL, hold NULL or differ in length.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown distance {metric!r}")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    term = lambda f: total(F.zip_with(a, b, f))
+    if metric == "euclidean":
+        value = F.sqrt(term(lambda x, y: (x - y) * (x - y)))
+    elif metric == "cosine":
+        length = F.sqrt(term(lambda x, y: x * x)) * F.sqrt(term(lambda x, y: y * y))
+        value = F.when(length > 0, 1.0 - term(lambda x, y: x * y) / length)
+    else:
+        mass_a, mass_b = term(lambda x, y: x), term(lambda x, y: y)
+        entropy = lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0)
+
+        def gain(x, y):
+            p, q = x / mass_a, y / mass_b
+            return entropy(p) / 2 + entropy(q) / 2 - entropy((p + q) / 2)
+
+        value = F.when((mass_a > 0) & (mass_b > 0), F.sqrt(F.greatest(term(gain), F.lit(0.0))))
+    return F.when(F.size(a) == F.size(b), value)

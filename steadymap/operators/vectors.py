@@ -14,6 +14,19 @@ def bow(token_lists: DataFrame) -> DataFrame:
         "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def ngrams(token_lists: DataFrame, shortest: int = 1, longest: int = 2) -> DataFrame:
+    """Token lists whose tokens are all runs of ``shortest`` to ``longest`` tokens, joined by spaces; other columns stay.
+
+    Shorter lists give fewer runs; a list shorter than ``shortest`` gives none.
+    """
+    if not 1 <= shortest <= longest:
+        raise ValueError("need 1 <= shortest <= longest")
+    tokens = F.col("tokens")
+    runs = lambda n: F.when(F.size(tokens) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda at: F.array_join(F.slice(tokens, at, n), " "))).otherwise(F.array().cast("array<string>"))
+    return token_lists.withColumn("tokens", F.concat(*[runs(n) if n > 1 else tokens for n in range(shortest, longest + 1)]))
+
+
 def dictionary(counts: DataFrame) -> DataFrame:
     """(term, term_id, df, cf): ids by first document, then alphabetically."""
     terms = materialize(counts.groupBy("term").agg(
