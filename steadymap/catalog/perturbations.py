@@ -65,6 +65,24 @@ def drop_columns(spark, sf):
     return perturb.drop_columns(counts(spark, sf), 5, 1).select("doc_id", "term", "tf")
 
 
+def _as(name, cte):
+    return cte.replace("pk as", f"{name} as")
+
+
+@query("permuted_columns", f"""with {BOW_CTE}, {_as('pc', _picked_cte('term', 0.2, 2))}, {_as('pr', _picked_cte('doc_id', 0.2, 1))},
+{_as('pd', _picked_cte('term', 0.1, 3))},
+one as (select doc_id, term, case when term in (select term from pc) then tf*tf + 1 else tf end tf from bow),
+two as (select doc_id, term, case when doc_id in (select doc_id from pr) then 2*tf else tf end tf from one),
+three as (select doc_id, term, case when term in (select term from pd) then (case when tf > 1 then 1 end) else tf end tf from two)
+select substr(sha256((sum(('0x' || substr(md5(doc_id || '|' || term || '|' || tf), 1, 15))::hugeint))::varchar), 1, 15) fingerprint,
+  count(*)::bigint cells, sum(tf)::bigint weight from three where tf is not null""")
+def permuted_columns(spark, sf):
+    """All changes in a row, two of them the caller's own, and the hash of the changed matrix."""
+    c = counts(spark, sf)
+    changed, print_ = perturb.permute_columns(c, 2, 1, 2, 3, columns=lambda tf: tf * tf + 1, dropped=lambda tf: F.when(tf > 1, F.lit(1).cast("long")))
+    return print_.join(F.broadcast(changed.agg(F.count("*").alias("cells"), F.sum("tf").alias("weight"))))
+
+
 _JITTER = ("tf + greatest(0, floor(tf * (1 + (2*(" + _hash("doc_id || ':' || term || ':42'")
            + "::double/281474976710656.0::double) - 1)*{0}::double)))")
 
