@@ -2,10 +2,12 @@
 
 Entities that the base expressions find are seeds. The word before them, the two words before them and
 their shape (digits one by one, letters by runs) are lexical patterns. Every other identifier-like token
-(with four digits or more, outside base spans) with the same words or shape is an instance of the pattern
-too, such as a card number that the base drops because it stands right after a telephone number. Spark scores this pattern-instance graph in rounds: a pattern by the share of its
-distinct instances that are known, an instance by how sure its patterns are together. Instances above
-``confidence`` become known for the next round, and all their occurrences become spans.
+(with four digits or more, an at sign or two colons, outside base spans) with the same words or shape is an instance of
+the pattern too, such as a card number that the base drops because it stands right after a telephone number. Spark scores
+this pattern-instance graph in rounds, until what is found no longer changes: a pattern by the share of its distinct
+instances that are known, an instance by how sure its patterns are together. Tokens with fewer digits can only be an
+address of their form: e-mail with an at sign, ip with two colons. Instances above ``confidence`` become known for the
+next round, and all their occurrences become spans.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IDENTIFIER = (r"(?<![^\x20\x09-\x0D])(?:\+[0-9]++\x20?\([0-9]++\)\x20?[0-9]++(?:[.-][0-9]++)*+"
-              r"|(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}[^\x20\x09-\x0D]*+)")
+              r"|(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}[^\x20\x09-\x0D]*+"
+              r"|[^\x20\x09-\x0D@(]*+(?:@|\(at\))[^\x20\x09-\x0D]++|[0-9A-Fa-f]*+:[0-9A-Fa-f.]*+:[0-9A-Fa-f:.]*+(?![^\x20\x09-\x0D,;!?)]))")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPANS = "array<struct<start:int, no:int, end:int, value:string, one:string, two:string>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``support``: distinct known instances, base or found, a pattern needs; ``context``: characters looked at for the words before."""
+    """``rounds`` bounds the rounds; ``support``: distinct known instances, base or found, a pattern needs; ``context``: characters looked at for the words before."""
 
-    rounds: int = 3
+    rounds: int = 50
     confidence: float = 0.8
     support: int = 5
     context: int = 80
@@ -82,7 +85,7 @@ def base_spans(text: Column, settings: Settings = Settings()) -> Column:
 
 def identifiers(text: Column, settings: Settings = Settings()) -> Column:
     """Identifier-like tokens, without the punctuation around them."""
-    core = r"[+\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
+    core = r"(?:::)?[+\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
 
     def trimmed(s: Column) -> Column:
         value = F.regexp_extract(s["value"], core, 0)
@@ -90,8 +93,14 @@ def identifiers(text: Column, settings: Settings = Settings()) -> Column:
         return F.struct(start.alias("start"), F.lit(9).alias("no"), (start + F.char_length(value)).cast("int").alias("end"),
                         value.alias("value"), s["one"].alias("one"), s["two"].alias("two"))
 
-    spans = F.transform(_matches(text, IDENTIFIER, 9, settings), trimmed).cast(SPANS)
-    return F.when(text.rlike("[0-9]"), spans).otherwise(F.array().cast(SPANS))
+    spans = F.filter(F.transform(_matches(text, IDENTIFIER, 9, settings), trimmed).cast(SPANS), lambda s: F.length(s["value"]) > 0)
+    return F.when(text.rlike(r"[0-9@]|\(at\)|:[0-9A-Fa-f.]*:"), spans).otherwise(F.array().cast(SPANS))
+
+
+def fits(value: Column, no: Column) -> Column:
+    """Whether a token can be of a kind at all: four digits can be anything, fewer only an address of its form."""
+    email, ip = value.rlike(r"@|\(at\)"), value.rlike("^[0-9A-Fa-f.]*:[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*$")
+    return (F.regexp_count(value, F.lit("[0-9]")) >= 4) | ((no == 0) & email) | ((no == 1) & ip)
 
 
 def marked(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -117,7 +126,7 @@ def bootstrap(rows: DataFrame, stage: Stage, settings: Settings) -> DataFrame:
     # a pattern with fewer instances can never have the support
     sizes = stage.save(graph.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= settings.support), "patterns")
     seeds = graph.where("no is not null").select("pattern", "no", "value", F.lit(1.0).alias("score"))
-    found = None
+    found, before = None, None
     for step in range(settings.rounds):
         sure = seeds
         if found is not None:
@@ -129,10 +138,14 @@ def bootstrap(rows: DataFrame, stage: Stage, settings: Settings) -> DataFrame:
         scores = sure.join(sizes, "pattern").select(
             "pattern", "no", (F.col("seeds") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= settings.confidence)
         # an instance is wrong only if all its patterns are
-        doubt = stage.again("graph", graph).where("no is null").drop("no").join(scores, "pattern").groupBy("value", "no").agg(
+        doubt = stage.again("graph", graph).where("no is null").drop("no").join(scores, "pattern").where(fits(F.col("value"), F.col("no"))).groupBy("value", "no").agg(
             (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("score"))
         best = doubt.groupBy("value").agg(F.max_by(F.struct("no", "score"), F.struct("score", -F.col("no"))).alias("b"))
         found = stage.save(best.select("value", "b.no", "b.score"), f"found-{step}")
+        state = found.agg(F.count("*"), F.sum(F.xxhash64("value", "no", F.round("score", 9)).cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
     return found
 
 

@@ -16,3 +16,17 @@ def test_found_instances_support_new_patterns(spark):
     got = spans(spark, texts)
     assert all(got[300 + k] == f"ip:11:{11 + len(v)}" and got[330 + k] == f"ip:14:{14 + len(v)}" for k, v in enumerate(first))
     assert got[360] == "ip:14:23" and got[361] == ""
+
+
+def test_addresses_with_few_digits_are_found_after_sure_words(spark):
+    """What a context reveals needs no four digits: host-only and spelled-out e-mail addresses, short ip addresses."""
+    texts = [f"Email: u{k}.x@example{k}.org and more" for k in range(300)] + [f"Client IP: 10.{k // 200}.{k % 200}.7 and more" for k in range(300)]
+    texts += ["Email: jane.doe@intranet", "Email: jane(at)example.org, then", "Client IP: fe80::1", "Client IP: ::1 here"]
+    # other words, other forms and other contexts stay alone
+    texts += ["Email: nobody", "Client IP: home", "at noon jane.doe@intranet", "ratio 1:2:3 now", "Email: 1:2:3", "Client IP: joe@home"]
+    got = spans(spark, texts)
+    found = [[texts[n][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[n].split(",") if s] for n in range(600, len(texts))]
+    assert found[:4] == [["jane.doe@intranet"], ["jane(at)example.org"], ["fe80::1"], ["::1"]]
+    assert found[4:6] == [[], []] and found[7:] == [[], [], []]
+    # a value that is known stays known wherever it stands
+    assert found[6] == ["jane.doe@intranet"] and got[600].startswith("email:") and got[602].startswith("ip:")
