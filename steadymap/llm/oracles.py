@@ -87,4 +87,14 @@ lowest as (select * from valued qualify row_number() over (partition by lang, ph
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from lowest)
 select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score from ranked where rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op11_dynamic_counting": PHRASES, "op12_block_repair": REPAIR}
+COPIES = """with recursive v as (select vec_id, label, embedding::double[] e from embeddings),
+fine as (select *, list_sum(list_transform(e, lambda x: x * x)) sq from v where label is not null and e is not null
+  and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+links as (select a.vec_id a, b.vec_id b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.sq > 0 and b.sq > 0 and list_dot_product(a.e, b.e) / sqrt(a.sq) / sqrt(b.sq) >= 0.98),
+reach(id, root) as (select vec_id, vec_id from embeddings union select b, root from reach join links on a = id),
+roots as (select id, min(root) root from reach group by 1),
+counted as (select a, count(*) n from links group by 1)
+select id vec_id, coalesce(n, 0)::bigint n_links, root::bigint component_id, id = root kept from roots left join counted on a = id"""
+
+ORACLES: dict[str, str] = {"op9_nn_descent": COPIES, "op11_dynamic_counting": PHRASES, "op12_block_repair": REPAIR}
