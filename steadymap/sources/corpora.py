@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from steadymap.operators.text import single_category
 
@@ -14,8 +14,13 @@ def _numbered(rows: DataFrame, order: Column) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Ids from a row's file and place, so that equal rows stay different documents."""
-    return _numbered(rows, F.concat_ws("|", F.input_file_name(), F.monotonically_increasing_id()))
+    """Ids from a row's file and its place in that file, so that equal rows stay different documents.
+
+    Files with quoted line ends are read whole by one task, so the place does not depend on how files are packed.
+    """
+    seen = rows.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return _numbered(seen.withColumn("_place", place), F.concat_ws("|", "_file", "_place")).drop("_file", "_at", "_place")
 
 
 def _decoded(files: DataFrame, charset: str) -> DataFrame:
@@ -77,12 +82,20 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", "text", F.col("label").alias("category"))
 
 
+def without_footer(text: Column) -> Column:
+    """The text up to its last line of nothing but dashes and white space; the whole text if there is none or it is the first."""
+    lines = F.split(F.regexp_replace(text, r"\A\s+|\s+\z", ""), "\n", -1)
+    from_end = F.array_position(F.reverse(F.transform(lines, lambda x: x.rlike(r"\A\s*-*\s*\z"))), True)
+    at = F.size(lines) - from_end
+    return F.when((from_end > 0) & (at > 0), F.array_join(F.slice(lines, F.lit(1), at.cast("int")), "\n")).otherwise(text)
+
+
 def newsgroups(spark: SparkSession, path: str, bare: bool = False) -> DataFrame:
-    """A landed table (doc_id, text, category); ``bare`` strips headers and quoted lines."""
+    """A landed table (doc_id, text, category); ``bare`` strips headers, footers and quoted lines."""
     rows = spark.read.parquet(path).select("doc_id", "text", "category")
     if not bare:
         return rows
-    body = F.regexp_replace("text", r"(?s)\A.*?\n\n", "")
+    body = without_footer(F.regexp_replace("text", r"(?s)\A.*?\n\n", ""))
     body = F.regexp_replace(body, r"(?m)^(>|\|).*$\n?", "")
     return rows.withColumn("text", body)
 

@@ -123,3 +123,34 @@ def test_equal_rows_stay_different_documents(spark, tmp_path):
     (tmp_path / "a.csv").write_text('lyrics,genere\n"la la",x\n"la la",x\n"lo",y\n')
     rows = corpora.lyrics(spark, str(tmp_path / "a.csv")).collect()
     assert len({r.doc_id for r in rows}) == 3 and [r.text for r in rows].count("la la") == 2
+
+
+def test_footers(spark):
+    from steadymap.sources.corpora import without_footer
+
+    texts = ["body\nmore\n--\nname\nplace", "body\n\nsigned", "no footer\n", "--\nall", "", "a\n - \nb", "a\n---\nb\n \n", "\n\nx\n\ny\n\nz"]
+
+    def plain(text):
+        lines = text.strip().split("\n")
+        for at in range(len(lines) - 1, -1, -1):
+            if lines[at].strip().strip("-") == "":
+                return "\n".join(lines[:at]) if at > 0 else text
+        return text
+
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    got = {r.n: r.t for r in rows.select("n", without_footer(rows.text).alias("t")).collect()}
+    assert [got[n] for n in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_ids_do_not_depend_on_how_files_are_packed(spark, tmp_path):
+    from steadymap.sources import corpora
+
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text("text,label\n" + "".join(f"same {n % 2},l\n" for n in range(4)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = []
+    for cost in ("1b", "100m"):
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        found.append(sorted((r.doc_id, r.text) for r in corpora.labelled_csv(spark, str(tmp_path)).collect()))
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert found[0] == found[1] and len({i for i, _ in found[0]}) == 24
