@@ -139,6 +139,19 @@ def pearson_distance(spark, sf):
     return rounded(pair_moments(_points(spark, sf)).select("space", "pearson"))
 
 
+@query("named_measures", f"""with {pairs_cte()}, {LOCAL_CTE}, {GLOBAL_CTE},
+sh as (select s, avg(sqrt((x1-x2)**2 + (y1-y2)**2)) shift, max(abs(x1-x2) + abs(y1-y2)) farthest from p group by s)
+select glo.s as space, round(pearson, 6) pearson, round(stress, 6) normalized_stress, round(trustworthiness, 6) trustworthiness,
+  round(shift, 6) shift, round(farthest, 6) farthest from glo join local_ using (s) join sh using (s)""")
+def named_measures(spark, sf):
+    """Measures by name next to two of the caller's own."""
+    step = lambda points, metric: column_distance(F.col("v1"), F.col("v2"), metric)
+    walk = F.abs(F.col("v1")[0] - F.col("v2")[0]) + F.abs(F.col("v1")[1] - F.col("v2")[1])
+    own = [("shift", lambda points: points.groupBy("space").agg(F.avg(step(points, "euclidean")).alias("shift"))),
+           ("farthest", lambda points: points.groupBy("space").agg(F.max(walk).alias("farthest")))]
+    return rounded(scores.run_measures(_points(spark, sf), ["pearson", "normalized_stress", "trustworthiness", *own]))
+
+
 @query("normalized_stress", _global_sql("round(stress, 6) stress", "glo"))
 def normalized_stress(spark, sf):
     return rounded(pair_moments(_points(spark, sf)).select("space", "stress"))

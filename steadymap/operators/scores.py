@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +12,8 @@ from steadymap.operators.local import label_preservation, local_measures, neighb
 from steadymap.operators.pairs import pair_moments, pair_spearman
 from steadymap.session import materialize, share
 
+Measure = Callable[[DataFrame], DataFrame]
+#: Names of the columns of a comparison.
 STABILITY_COLUMNS = [
     "spearman_correlation", "pearson_correlation", "cluster_ordering", "rotation",
     "distance_consistency", "silhouette_coefficient", "trustworthiness", "continuity",
@@ -41,6 +44,36 @@ def cluster_ordering(pairs: DataFrame) -> DataFrame:
     return pair_spearman(cents).withColumnRenamed("spearman", "cluster_ordering")
 
 
+def registry(k: int = 7) -> dict[str, Measure]:
+    """The measures by name; each takes points (space, id, label, v1, v2) and gives one row per space."""
+    local = lambda name: lambda points: local_measures(points, k).select("space", name)
+    moments = lambda column, name: lambda points: pair_moments(points).select("space", F.col(column).alias(name))
+    low = lambda points: points.select("space", "id", "label", F.col("v2").alias("v"))
+    return {
+        **{name: local(name) for name in ("trustworthiness", "continuity", "local_continuity", "mrre_missing", "mrre_false")},
+        "label_preservation": lambda points: label_preservation(points, k),
+        "pearson": moments("pearson", "pearson"), "normalized_stress": moments("stress", "normalized_stress"),
+        "spearman": pair_spearman,
+        "neighborhood_hit": lambda points: neighborhood_hit(low(points), k),
+        "silhouette": lambda points: classes.silhouette(low(points)),
+    }
+
+
+def run_measures(points: DataFrame, measures: list[str | tuple[str, Measure]], k: int = 7) -> DataFrame:
+    """(space, one column per measure): names from the ``registry``, or (name, the caller's function).
+
+    A caller's function gives a row per space with the value in a column of that name; spaces it leaves out are NULL.
+    """
+    known = registry(k)
+    parts = [points.select("space").distinct()]
+    for measure in measures:
+        name, function = (measure, known.get(measure)) if isinstance(measure, str) else measure
+        if function is None:
+            raise ValueError(f"unknown measure {name!r}")
+        parts.append(function(points).select("space", name))
+    return _merge(parts)
+
+
 def absolute_difference(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """|metric(layout 1) - metric(layout 2)| per space."""
     other = right.withColumnRenamed(name, "_other")
