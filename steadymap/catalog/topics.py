@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from steadymap.catalog import query
@@ -120,6 +122,18 @@ def lsi(spark, sf):
     return _named(topic_terms, terms)
 
 
+@query("lsi_quality", "select 5 topics, true ordered, true orthogonal, count(*)::bigint documents from documents")
+def lsi_quality(spark, sf):
+    """What has to hold for the leading directions: falling singular values, orthogonal columns of exactly that length."""
+    _, rows, _, width = _sparse(spark, sf)
+    docs, _, singular = topics.lsi_factors(rows, width, 5)
+    pairs = [(i, j) for i in range(5) for j in range(i + 1)]
+    off = [F.abs(F.sum(F.col(f"f{i}") * F.col(f"f{j}")) - (float(singular[i] ** 2) if i == j else 0.0)) <= 1e-6 * float(singular[0] ** 2) for i, j in pairs]
+    fine = docs.agg(reduce(lambda a, b: a & b, off).alias("orthogonal"))
+    ordered = bool((singular[1:] <= singular[:-1]).all())
+    return fine.select(F.lit(5).alias("topics"), F.lit(ordered).alias("ordered"), "orthogonal", F.lit(corpus(spark, sf).count()).alias("documents"))
+
+
 @query("nmf")
 def nmf(spark, sf):
     _, rows, terms, width = _sparse(spark, sf)
