@@ -16,6 +16,9 @@ from steadymap.llm.byte_bpe import Coder, Settings
 from steadymap.llm.pieces import _packed
 
 CALL = 20_000  # slices per call of the library
+JOINED = 1000  # slices that begin with a space and are encoded as one text
+#: Fixed value: the byte-level vocabulary's letter for a space.
+SPACE = "\u0120"
 
 
 class LibraryMerger:
@@ -36,6 +39,8 @@ class LibraryMerger:
         self.length = np.zeros(max(words.values()) + 1, np.int64)
         for word, k in words.items():
             self.length[k] = len(word)
+        self.spaced = np.zeros(1 << 16, bool)  # ids that stand for a text with a space in front
+        self.spaced[[k for word, k in words.items() if word.startswith(SPACE)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.store: dict[bytes, bytes] = {}
 
@@ -48,11 +53,27 @@ class LibraryMerger:
             # a full store keeps its older half, as frequent slices are met early, and what this batch needs of the rest
             kept = dict(islice(self.store.items(), self.settings.store // 2))
             self.store = kept | {s: self.store[s] for s in slices if s in self.store}
-        for at in range(0, len(missing), CALL):
-            cut = missing[at : at + CALL]
+        # a space and then no white space: end to end, such slices are the library's matches again
+        words = [s for s in missing if len(s) > 1 and s[0] == 32 and s[1] > 32 and (s[1] < 128 or not s[1:].decode()[0].isspace())]
+        for at in range(0, len(words), JOINED):
+            self._joined(words[at : at + JOINED])
+        self._apart([s for s in missing if s not in self.store])
+        return [self.store[s] for s in slices]
+
+
+    def _apart(self, slices: list[bytes]) -> None:
+        for at in range(0, len(slices), CALL):
+            cut = slices[at : at + CALL]
             got = self.tokenizer.encode_batch_fast([s.decode() for s in cut], add_special_tokens=False)
             self.store.update((s, _packed(e.ids)) for s, e in zip(cut, got))
-        return [self.store[s] for s in slices]
+
+    def _joined(self, slices: list[bytes]) -> None:
+        """Encode slices with a space in front as one text, in which only they have one; calls that do not add up go apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(slices).decode()], add_special_tokens=False)[0].ids, "<u2")
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) == len(slices) and not begins[0]:
+            raw, ends = ids.tobytes(), (2 * begins).tolist() + [2 * len(ids)]
+            self.store.update(zip(slices, [raw[a:b] for a, b in zip(ends, ends[1:])]))
 
 
 class LibraryCoder(Coder):

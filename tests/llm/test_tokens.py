@@ -36,6 +36,14 @@ def test_slices_equal_the_library_in_all_of_unicode():
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_slices_of_other_white_space():
+    library, coder = Tokenizer.from_file(vocabulary(BYTES)), library_slices.LibraryCoder(vocabulary(BYTES), byte_bpe.classes())
+    odd = ["\xa0", "\x85", "\u2003", "\u3000", "\u2028", "\u1680", "\u200b", "\x1c"]
+    some = [f"x {a} y {a}{b} z {b} {a} w{a}  {b}" for a in odd for b in odd]
+    for t, ids in zip(some, coder.ids(some)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_encoders_equal_the_library(monkeypatch):
     name, kind = WORDS, pieces.WordEncoder
     library, coder = Tokenizer.from_file(vocabulary(name)), kind(vocabulary(name))
