@@ -6,8 +6,8 @@ in the circle that happens, and is counted until it has seen every shard once. A
 while it begins one for others; scans stop when nothing is active.
 
 What has reached the threshold, and in which scan, reaches the tasks as a table of bytes of a fixed size, two places
-a phrase. Places shared by chance only activate a phrase that did not have to be counted: its count is whole as
-well and below the threshold. The table's size is a parameter, so what is broadcast does not grow with the corpus.
+a phrase. Places shared by chance only activate a phrase that did not have to be counted, never before its parts: its
+count is whole as well and below the threshold. The table's size is a parameter, so what is broadcast does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -139,7 +139,8 @@ class Counter:
             possible = np.flatnonzero(parts != NEVER)
             h = _longer(h[:-1], h1[k - 1 :])
             since = np.full(len(parts), NEVER, np.uint8)
-            since[possible] = marked_since(h[possible], self.table, self.settings.bits)
+            # places marked by chance before its parts must not begin the circle of a longer phrase: its parts are not seen before theirs
+            since[possible] = np.maximum(marked_since(h[possible], self.table, self.settings.bits), parts[possible])
 
     def _count(self, at, k, w, width, names, of_lang, of_word, known) -> Iterator[pa.RecordBatch]:
         levels, key = [], w[at]

@@ -65,6 +65,18 @@ def test_against_plain_counts(spark, settings):
     assert max(len(p) for _, p in found) == 5
 
 
+def test_places_marked_before_the_parts(spark):
+    """Places shared with phrases of earlier scans do not cut the circle of a longer phrase."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(60)]
+    p = 1 / np.arange(1, 61)
+    sentences = [" ".join(rng.choice(words, 8)) for _ in range(60)]
+    rows = [(d, " ".join(rng.choice(sentences) if rng.random() < 0.6 else " ".join(rng.choice(words, 5, p=p / p.sum())) for _ in range(6)), "en", 1) for d in range(300)]
+    settings = phrases.Settings(least=10, bits=10)
+    counted = phrases.frequent(spark.createDataFrame(rows, SCHEMA).repartition(2), Stage(spark, "test"), settings).where("k > 0").collect()
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.c for r in counted} == plain(rows, settings.least, settings.top)[0]
+
+
 def test_products_beyond_64_bits(spark, monkeypatch):
     """1000 a n passes 2^63; the score stays exact."""
     a, n = 3_000_000_000, 40_000_000_000
