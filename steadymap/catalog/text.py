@@ -137,9 +137,10 @@ rw as (select *, row_number() over (partition by topic order by round(weight, 9)
 select topic, r::int as rank, term word, round(weight, 6) weight from rw where r <= 20""")
 def ctfidf_ngrams(spark, sf):
     """The heaviest words and word pairs of every language."""
-    docs = materialize(vectors.ngrams(token_lists(spark, sf), 1, 2))
-    c = materialize(vectors.bow(docs))
-    weights = vectors.class_tfidf(c, docs.select("doc_id", F.col("category").alias("topic")), document_count(c))
+    docs = materialize(token_lists(spark, sf))
+    # words and pairs are counted per language where they are read: neither lists of pairs nor counts per document are written
+    c = materialize(vectors.bow(vectors.ngrams(docs, 1, 2).withColumnRenamed("category", "topic"), "topic"))
+    weights = vectors.class_tfidf(c, None, docs.select("doc_id").distinct().count())
     return rounded(vectors.top_words(weights, 20))
 
 

@@ -8,10 +8,10 @@ from steadymap.operators.order import number_rows
 from steadymap.session import materialize
 
 
-def bow(token_lists: DataFrame) -> DataFrame:
-    """Term frequencies per document; counted before the shuffle."""
-    return token_lists.select("doc_id", F.explode("tokens").alias("term")).groupBy(
-        "doc_id", "term").agg(F.count("*").alias("tf"))
+def bow(token_lists: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Term frequencies per document, or per value of ``by``; counted before the shuffle."""
+    return token_lists.select(by, F.explode("tokens").alias("term")).groupBy(
+        by, "term").agg(F.count("*").alias("tf"))
 
 
 def ngrams(token_lists: DataFrame, shortest: int = 1, longest: int = 2) -> DataFrame:
@@ -67,16 +67,20 @@ def tfidf(counts: DataFrame, documents: int) -> DataFrame:
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("w"))
 
 
-def class_tfidf(counts: DataFrame, topics: DataFrame, documents: int) -> DataFrame:
+def class_tfidf(counts: DataFrame, topics: DataFrame | None, documents: int) -> DataFrame:
     """(topic, term, weight): count / topic total · ln(N / total count of the term).
 
     ``topics`` is (doc_id, topic). Documents of a topic are never concatenated; their counts
-    are added.
+    are added. Without ``topics`` the counts are those of topics already: (topic, term, tf).
     """
-    per_topic = counts.join(topics, "doc_id").groupBy("topic", "term").agg(F.sum("tf").alias("c"))
+    if topics is None:
+        per_topic = counts.select("topic", "term", F.col("tf").alias("c"))
+    else:
+        per_topic = counts.join(topics, "doc_id").groupBy("topic", "term").agg(F.sum("tf").alias("c"))
     topic_total = per_topic.groupBy("topic").agg(F.sum("c").alias("topic_c"))
-    term_total = per_topic.groupBy("term").agg(F.sum("c").alias("term_c"))
-    return per_topic.join(topic_total, "topic").join(term_total, "term").select(
+    # a term has a row per topic, so its total is a window, not another aggregate and a join
+    term_total = F.sum("c").over(Window.partitionBy("term"))
+    return per_topic.withColumn("term_c", term_total).join(topic_total, "topic").select(
         "topic", "term",
         (F.col("c") / F.col("topic_c") * F.log(F.lit(float(documents)) / F.col("term_c"))).alias("weight"))
 
