@@ -8,6 +8,7 @@ from steadymap.catalog import query
 from steadymap.catalog.common import table
 from steadymap.functions import naming
 from steadymap.plans import comparisons, grid
+from steadymap.session import spread
 
 # every supplier stands for a dataset with its own number of topics and categories
 _DATASETS = """ds as (select 'set_' || s_suppkey as dataset, (s_nationkey + 2)::varchar topics,
@@ -169,7 +170,7 @@ rs as (select dataset, command, 'results/' || dataset || '/results_' || replace(
 select dataset, count(*)::bigint runs, (sum(('0x' || substr(md5(command || '|' || result_path), 1, 8))::bigint))::bigint digest,
  count(*) filter (('0x' || substr(md5(result_path), 1, 4))::int % 5 <> 0)::bigint open_runs from rs group by 1""")
 def run_grid(spark, sf):
-    runs = grid.run_grid(datasets(spark, sf).drop("categories"))
+    runs = grid.run_grid(spread(datasets(spark, sf).drop("categories"), "dataset"))
     hashed = lambda c, n: F.conv(F.substring(F.md5(c), 1, n), 16, 10).cast("long")
     finished = runs.filter(hashed(F.col("result_path"), 4) % 5 == 0)
     todo = grid.open_runs(runs, finished).groupBy("dataset").agg(F.count("*").alias("open_runs"))
