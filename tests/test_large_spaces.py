@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from steadymap.functions.distance import BlockDistance, nearest
+from steadymap.functions.distance import BlockDistance, count_closer, nearest, others
 from steadymap.operators.blocks import pair_blocks
 from steadymap.operators.neighbours import merged
 
@@ -42,3 +42,21 @@ def test_nearest_against_a_whole_sort(width):
         for r in range(len(a)):
             order = [c for c in np.lexsort((ids, exact[r])) if np.isfinite(exact[r, c])][:9]
             assert np.allclose(np.sort(d[rows == r]), exact[r, order]) and (width > 2 or cols[rows == r].tolist() == order)
+
+
+@pytest.mark.parametrize("width", [2, 12])
+def test_closer_points_are_counted_on_masked_distances(width):
+    """Own points and points without a distance are taken out once for all look-ups; ties go to the smaller id."""
+    rng = np.random.default_rng(width)
+    a = np.round(rng.normal(size=(60, width)), 1)
+    a[20:30] = a[0]
+    a[7] = np.nan
+    ids, rows = np.arange(60), np.repeat([0, 21, 40], 3)
+    dist = BlockDistance(a, a, "euclidean")
+    asked = np.tile([3, 25, 50], 3)
+    targets = dist.exact(rows, asked)
+    full = others(dist.matrix(), ids, ids)
+    got = count_closer(dist, full, ids, rows, asked, targets)
+    for r, j, t, n in zip(rows, asked, targets, got):
+        d = dist.exact(np.full(60, r), ids)
+        assert n == sum(1 for c in ids if c not in (r, 7) and (d[c], c) < (t, j))
