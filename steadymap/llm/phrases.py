@@ -147,8 +147,10 @@ class Counter:
         for j in range(1, k):
             key = key * width + w[at + j]
             if j < k - 1:
-                levels.append(np.unique(key))
-                key = np.searchsorted(levels[-1], key)
+                # numbered by hashing: a search in the sorted keys costs more than the counting
+                numbered = pa.array(key).dictionary_encode()
+                levels.append(numbered.dictionary.to_numpy())
+                key = numbered.indices.to_numpy().astype(np.int64)
         key, count = np.unique(key, return_counts=True)
         columns = []
         for level in [*reversed(levels), None]:

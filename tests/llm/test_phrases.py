@@ -94,3 +94,13 @@ def test_long_texts_are_cut_at_ends_of_pieces():
 
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keys_of_phrases_are_numbered_without_a_search(monkeypatch):
+    """Words of a phrase become numbers by hashing; a search in all keys took over half the time of a scan."""
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, *more, **names: searched.append(len(a)) or search(a, *more, **names))
+    text = ". ".join(f"a{k % 7} b{k % 11} c{k % 13} d{k % 3} e" for k in range(400)).encode()
+    counter = phrases.Counter(np.zeros(1 << 8, np.uint8), 1, phrases.Settings(bits=8))
+    rows = [r for b in counter.count(["en"], [text]) for r in b.to_pylist() if r["k"] == 5]
+    assert sum(r["c"] for r in rows) == 400 and len(rows) == 400 and max(searched) == 1
