@@ -466,6 +466,7 @@ def build_space(name: str, token_lists: DataFrame, k: int = 5, encoder=hashed_ng
         return word2vec(token_lists, k, **params)
     if name == "bert":
         return embed(token_lists.select("doc_id", F.array_join("tokens", " ").alias("text")), encoder)
+    token_lists = materialize(token_lists.select("doc_id", "tokens"))  # texts are split once, not again for the number of documents
     counts = materialize(vectors.bow(token_lists))
     terms = materialize(vectors.dictionary(counts))
     if "tfidf" in name:
