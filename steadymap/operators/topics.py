@@ -107,13 +107,13 @@ def coherence_umass(token_lists: DataFrame, topic_words: DataFrame) -> DataFrame
     return pairs.groupBy("topic").agg(F.avg(value).alias("coherence"))
 
 
-def coherence_uci(token_lists: DataFrame, topic_words: DataFrame, window: int = 10) -> DataFrame:
-    return _pairs(token_lists, topic_words, window).filter("w1 <> w2").groupBy("topic").agg(
+def coherence_uci(token_lists: DataFrame, topic_words: DataFrame, window: int = 10, pairs: DataFrame | None = None) -> DataFrame:
+    return (_pairs(token_lists, topic_words, window) if pairs is None else pairs).filter("w1 <> w2").groupBy("topic").agg(
         F.avg(_log_ratio(False)).alias("coherence"))
 
 
-def coherence_npmi(token_lists: DataFrame, topic_words: DataFrame, window: int = 10) -> DataFrame:
-    return _pairs(token_lists, topic_words, window).filter("w1 <> w2").groupBy("topic").agg(
+def coherence_npmi(token_lists: DataFrame, topic_words: DataFrame, window: int = 10, pairs: DataFrame | None = None) -> DataFrame:
+    return (_pairs(token_lists, topic_words, window) if pairs is None else pairs).filter("w1 <> w2").groupBy("topic").agg(
         F.avg(_log_ratio(True)).alias("coherence"))
 
 
@@ -488,7 +488,9 @@ def evaluate(token_lists: DataFrame, topic_words: DataFrame, model_type: str, n_
              perplexity: float = -1.0) -> DataFrame:
     """The quality row of a topic model: four coherences, each the mean over its topics, and the perplexity (-1: none)."""
     row = token_lists.sparkSession.createDataFrame([(model_type, n_topics, alpha)], "model_type string, n_topics int, alpha_lda string")
-    for name, of in (("u_mass", coherence_umass), ("c_v", coherence_cv), ("c_uci", coherence_uci), ("c_npmi", coherence_npmi)):
+    near = _pairs(token_lists, topic_words, 10)  # two coherences have the same windows
+    for name, of, known in (("u_mass", coherence_umass, {}), ("c_v", coherence_cv, {}), ("c_uci", coherence_uci, {"pairs": near}),
+                            ("c_npmi", coherence_npmi, {"pairs": near})):
         # one row each
-        row = row.join(F.broadcast(of(token_lists, topic_words).agg(F.avg("coherence").alias(f"coherence_{name}"))))
+        row = row.join(F.broadcast(of(token_lists, topic_words, **known).agg(F.avg("coherence").alias(f"coherence_{name}"))))
     return row.withColumn("perplexity", F.lit(float(perplexity)))
