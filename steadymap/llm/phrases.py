@@ -31,6 +31,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)] = 1
 KIND[list(ENDS)] = 2
 NEVER = 255
+ROWS = 1 << 16  # of a batch of phrases, and places looked up at once
 FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 1024, np.uint64) | np.uint64(1)
 ONE, TWO, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -71,8 +72,11 @@ def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def marked_since(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """The scan in which a phrase reached the threshold, NEVER if it did not."""
-    a, b = places(h, bits)
-    return np.maximum(table[a], table[b])
+    out = np.empty(len(h), np.uint8)
+    for lo in range(0, len(h), ROWS):
+        a, b = places(h[lo : lo + ROWS], bits)
+        out[lo : lo + ROWS] = np.maximum(table[a], table[b])
+    return out
 
 
 def cut(text: bytes, size: int) -> list[bytes]:
@@ -102,28 +106,36 @@ class Counter:
         raw = b"\n".join(texts).translate(TO_LOWER)
         kind = KIND[np.frombuffer(raw, np.uint8)]
         word = kind == 0
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
+        # numbers are as narrow as the text allows and go once used: a worker holds one block's at a time
+        change = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        edges = np.flatnonzero(change).astype(np.int32)
         starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
         if not len(starts):
             return
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
-        lang = np.array([names.index(x) for x in languages])[text]
-        piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+        lang = np.array([names.index(x) for x in languages], np.int32)[text]
+        # ends of pieces and beginnings of words, in their order
+        ends = (kind == 2)[(kind == 2) | (change[:-1] == 1)]
+        piece = np.cumsum(ends, dtype=np.int32)[~ends]
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        letters = np.frombuffer(raw, np.uint8)[word].tobytes()
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        letters = np.frombuffer(raw, np.uint8)[word]
+        del raw, kind, word, change, edges, starts, lengths, text, ends
+        words = pa.Array.from_buffers(pa.binary(), len(lang), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        del offsets, letters
         known = words.dictionary
         # a word of a language is one number
-        both = lang * len(known) + words.indices.to_numpy()
+        both = lang.astype(np.int64) * len(known) + words.indices.to_numpy()
         count = np.bincount(both, minlength=len(names) * len(known))
         used = np.flatnonzero(count)
-        number = np.zeros(len(count), np.int64)
+        number = np.zeros(len(count), np.int32)
         number[used] = np.arange(len(used))
         w, of_lang, of_word = number[both], used // len(known), used % len(known)
+        del both, words, number
         if self.scan < self.settings.shards:
             total = np.bincount(lang, minlength=len(names))
             yield self._rows([names[x] for x in np.flatnonzero(total)], 0, pa.array([b""] * int((total > 0).sum()), pa.binary()), total[total > 0])
             yield self._rows(pa.array(names).take(pa.array(of_lang)), 1, known.take(pa.array(of_word)), count[used])
+        del lang, count
         h1 = (word_hashes(known)[of_word] ^ np.array([_language(x) for x in names])[of_lang])[w]
         h, since = h1, marked_since(h1, self.table, self.settings.bits)
         inside, joined = piece[1:] == piece[:-1], None
@@ -133,9 +145,12 @@ class Counter:
             # phrase k at a place: its first words are the phrase k - 1 there, its last words that of the next place
             joined = inside if joined is None else joined[:-1] & inside[k - 2 :]
             parts = np.where(joined, np.maximum(since[:-1], since[1:]), NEVER).astype(np.uint8)
-            at = np.flatnonzero(self.active(parts))
+            at = np.flatnonzero(self.active(parts)).astype(np.int32)
             if len(at):
                 yield from self._count(at, k, w, len(used), names, of_lang, of_word, known)
+            del at
+            if k == self.settings.longest:
+                return
             possible = np.flatnonzero(parts != NEVER)
             h = _longer(h[:-1], h1[k - 1 :])
             since = np.full(len(parts), NEVER, np.uint8)
@@ -143,23 +158,29 @@ class Counter:
             since[possible] = np.maximum(marked_since(h[possible], self.table, self.settings.bits), parts[possible])
 
     def _count(self, at, k, w, width, names, of_lang, of_word, known) -> Iterator[pa.RecordBatch]:
-        levels, key = [], w[at]
+        levels, key = [], w[at].astype(np.int64)
         for j in range(1, k):
-            key = key * width + w[at + j]
+            key *= width
+            key += w[j:][at]
             if j < k - 1:
                 # numbered by hashing: a search in the sorted keys costs more than the counting
                 numbered = pa.array(key).dictionary_encode()
                 levels.append(numbered.dictionary.to_numpy())
                 key = numbered.indices.to_numpy().astype(np.int64)
-        key, count = np.unique(key, return_counts=True)
-        columns = []
-        for level in [*reversed(levels), None]:
-            columns.append(key % width)
-            key = key // width if level is None else level[key // width]
-        columns.append(key)
-        columns.reverse()
-        parts = [known.take(pa.array(of_word[c])) for c in columns]
-        yield self._rows(pa.array(names).take(pa.array(of_lang[columns[0]])), k, pc.binary_join_element_wise(*parts, b" "), count)
+                del numbered
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count, keys = np.diff(first, append=len(key)), key[first]
+        del key, first
+        for lo in range(0, len(keys), ROWS):
+            key, columns = keys[lo : lo + ROWS], []
+            for level in [*reversed(levels), None]:
+                columns.append(key % width)
+                key = key // width if level is None else level[key // width]
+            columns.append(key)
+            columns.reverse()
+            parts = [known.take(pa.array(of_word[c])) for c in columns]
+            yield self._rows(pa.array(names).take(pa.array(of_lang[columns[0]])), k, pc.binary_join_element_wise(*parts, b" "), count[lo : lo + ROWS])
 
     @staticmethod
     def _rows(lang, k: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
@@ -229,7 +250,7 @@ def frequent(docs: DataFrame, stage: Stage, settings: Settings = Settings()) ->
         enough = (F.col("k") == 0) | (F.col("c") >= settings.least)
         # a phrase that was first met now cannot be counted any more after a circle from here
         whole = F.col("first") + settings.shards - 1 <= scan
-        now = stage.save(total.where(enough | ~whole).withColumn("found", F.coalesce("found", F.when(enough, scan))), f"counts-{scan}")
+        now = stage.save_once(total.where(enough | ~whole).withColumn("found", F.coalesce("found", F.when(enough, scan))), f"counts-{scan}")
         shared.destroy()
         done.append(stage.save(now.where(enough & whole), f"done-{scan}"))
         new = places_of(now.where((F.col("found") == scan) & F.col("k").between(1, settings.longest - 1)), settings).toPandas()["place"].to_numpy()

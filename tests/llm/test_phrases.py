@@ -1,7 +1,9 @@
 """Dynamic itemset counting against plain counts of all runs of words."""
 
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,3 +106,41 @@ def test_keys_of_phrases_are_numbered_without_a_search(monkeypatch):
     counter = phrases.Counter(np.zeros(1 << 8, np.uint8), 1, phrases.Settings(bits=8))
     rows = [r for b in counter.count(["en"], [text]) for r in b.to_pylist() if r["k"] == 5]
     assert sum(r["c"] for r in rows) == 400 and len(rows) == 400 and max(searched) == 1
+
+
+def test_files_of_finished_scans_go(spark, monkeypatch):
+    """Once the counts of a scan are written, the files of its shuffle are removed, not left to the driver's collector."""
+    left, save = [], Stage.save
+
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in folders for p in Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    def watched(stage, df, name):
+        before = files()
+        out = save(stage, df, name)
+        if name.startswith("counts-"):
+            until = time.time() + 10  # files are removed in the background
+            while (stay := files() - before) and time.time() < until:
+                time.sleep(0.05)
+            left.append(len(stay))
+        return out
+
+    monkeypatch.setattr(Stage, "save", watched)
+    docs = spark.createDataFrame(fixture(3), SCHEMA).repartition(4)
+    phrases.frequent(docs, Stage(spark, "test"), phrases.Settings(least=10, bits=16))
+    assert len(left) > 2 and not any(left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_counted_rows_come_in_bounded_batches(monkeypatch):
+    """A task holds a few thousand rows beside its numbers, not all phrases of a block as text at once."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 400)).encode() + b". " + b"a,b" for _ in range(20)]
+    languages = [["en", "de"][k % 2] for k in range(20)]
+    counter = lambda: phrases.Counter(np.zeros(1 << 8, np.uint8), 1, phrases.Settings(bits=8))
+    whole = [r for b in counter().count(languages, texts) for r in b.to_pylist()]
+    monkeypatch.setattr(phrases, "ROWS", 1000)
+    batches = list(counter().count(languages, texts))
+    assert [r for b in batches for r in b.to_pylist()] == whole and len(whole) > 9000
+    assert max(b.num_rows for b in batches if b["k"][0].as_py() > 1) == 1000
