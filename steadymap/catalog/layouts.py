@@ -114,7 +114,7 @@ _register_local("local_continuity", ["local_continuity"])
 
 @query("label_preservation", _local_sql("label_preservation"))
 def label_preservation(spark, sf):
-    return rounded(local.label_preservation(_points(spark, sf)))
+    return rounded(local.label_preservation(_points(spark, sf), index=Index()))
 
 
 @query("neighborhood_hit", f"""with {pairs_cte()}
@@ -122,7 +122,7 @@ select s as space, round((count(*) filter (ya=yb) + count(distinct i))/(count(di
 from r where r1 <= 6 group by s""")
 def neighborhood_hit(spark, sf):
     pts = layout(spark, sf).select("space", "id", "label", F.array("x", "y").alias("v"))
-    return rounded(local.neighborhood_hit(pts))
+    return rounded(local.neighborhood_hit(pts, index=Index()))
 
 
 def _global_sql(cols, source):

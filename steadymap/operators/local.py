@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steadymap.operators.blocks import space_sizes
 from steadymap.operators.neighbours import knn, neighbour_ranks
+from steadymap.operators.pivots import Index
 
 
 def _mrre_norm(n: Column, k: int) -> Column:
@@ -54,11 +55,14 @@ def local_measures(points: DataFrame, k: int = 7, metrics=("euclidean", "euclide
 
 
 def label_preservation(points: DataFrame, k: int = 7, metrics=("euclidean", "euclidean"),
-                       block_rows: int | None = None) -> DataFrame:
-    """Overlap of the neighbours' labels alone; needs no ranks beyond k."""
+                       block_rows: int | None = None, index: Index | None = None) -> DataFrame:
+    """Overlap of the neighbours' labels alone; needs no ranks beyond k.
+
+    With an ``index`` only cells that can hold a neighbour are searched, as layouts in the plane should be.
+    """
     sides = [
         knn(points.select("space", "id", "label", F.col(v).alias("v")), k, m,
-            block_rows=block_rows).withColumn("side", F.lit(s))
+            block_rows=block_rows, index=index).withColumn("side", F.lit(s))
         for s, (v, m) in enumerate(zip(("v1", "v2"), metrics))
     ]
     counts = sides[0].unionByName(sides[1]).groupBy("space", "i", "label_j").agg(
@@ -69,9 +73,9 @@ def label_preservation(points: DataFrame, k: int = 7, metrics=("euclidean", "euc
 
 
 def neighborhood_hit(points: DataFrame, k: int = 7, metric: str = "euclidean",
-                     vector: str = "v", block_rows: int | None = None) -> DataFrame:
+                     vector: str = "v", block_rows: int | None = None, index: Index | None = None) -> DataFrame:
     """Share of the k nearest, the point itself included, that carry the point's label."""
-    near = knn(points, k - 1, metric, vector, block_rows)
+    near = knn(points, k - 1, metric, vector, block_rows, index)
     own = points.select("space", F.col("id").alias("i"), "label")
     hits = (
         near.join(own, ["space", "i"])
