@@ -351,5 +351,5 @@ def backfill_metric(spark, sf):
         F.concat(F.lit("pair"), F.col("c").cast("string")).alias("space"),
         F.when(F.col("c") == 0, F.col("v")).alias("label_preservation"))
     present = layout_pairs(spark, sf, 4).filter("space <> 'pair3'")
-    fresh = local.label_preservation(scores.as_points(present))
+    fresh = local.label_preservation(scores.as_points(present), index=Index())
     return rounded(scores.backfill(results, fresh, "label_preservation", ["space"]))

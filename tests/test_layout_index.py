@@ -21,7 +21,7 @@ def test_measures_by_cells_equal_those_by_blocks(spark):
     assert local.neighborhood_hit(one, index=Index(cell=20)).collect() == local.neighborhood_hit(one).collect()
 
 
-@pytest.mark.parametrize("name,searches", [("label_preservation", 2), ("neighborhood_hit", 1)])
+@pytest.mark.parametrize("name,searches", [("label_preservation", 2), ("backfill_metric", 2), ("neighborhood_hit", 1)])
 def test_layout_queries_ask_for_cells(spark, monkeypatch, name, searches):
     asked, search = [], pivots.pivot_knn
     monkeypatch.setattr(pivots, "pivot_knn", lambda *args: asked.append(1) or search(*args))
