@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from steadymap.operators.neighbours import knn
+from steadymap.operators.blocks import pair_blocks
+from steadymap.operators.neighbours import distances, knn
 from steadymap.operators.order import hash_unit
 from steadymap.session import materialize, parallelism
 
@@ -395,23 +396,59 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataF
     raise RuntimeError("components did not settle; raise max_rounds")
 
 
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest member per node) after joining the components of a[n] and b[n]."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def radius_forest(points: DataFrame, epsilon: float, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
+    """(space, i, j): pairs within ``epsilon`` that connect what all pairs within ``epsilon`` connect.
+
+    A block pair looks at all its pairs and keeps a star per component, so rows grow with points and blocks, however
+    many pairs a dense group has.
+    """
+
+    def run(key, left, right, _):
+        rows, cols = left["id"].to_numpy(), right["id"].to_numpy()
+        ids = np.unique(np.concatenate([rows, cols]))
+        row_at, col_at, root = np.searchsorted(ids, rows), np.searchsorted(ids, cols), np.arange(len(ids))
+        for part, (dist,) in distances(left, right, [("v", metric)]):
+            full = dist.matrix()
+            r, c = np.nonzero(full <= epsilon + 2.0 * dist.tol)
+            if dist.tol:
+                border = np.flatnonzero(full[r, c] >= epsilon - 2.0 * dist.tol)
+                far = border[~(dist.exact(r[border], c[border]) <= epsilon)]
+                r, c = np.delete(r, far), np.delete(c, far)
+            root = _united(root, row_at[part][r], col_at[c])
+        held = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"space": [key[0]] * len(held), "i": ids[root[held]], "j": ids[held]})
+
+    kind = points.schema["space"].dataType.simpleString()
+    return pair_blocks(points.select("space", "id", "v"), run, f"space {kind}, i long, j long", half=True, block_rows=block_rows)
+
+
 def density_topics(points: DataFrame, epsilon: float, min_size: int = 15, k: int = 15,
                    metric: str = "euclidean", near: DataFrame | None = None) -> DataFrame:
     """(space, id, topic): components of mutual reachability at most ``epsilon``.
 
-    The core distance is the distance to the k-th neighbour; components under ``min_size``
-    become noise (-1). A fixed-radius variant of hierarchical density clustering. ``near`` is the table of ``knn``
-    for this k and metric, where the caller has searched it already.
+    The core distance is the distance to the k-th neighbour; all pairs of such dense points within ``epsilon`` are
+    partners, not only the k nearest. Components under ``min_size`` become noise (-1). A fixed-radius variant of
+    hierarchical density clustering. ``near`` is the table of ``knn`` for this k and metric, where the caller has
+    searched it already.
     """
     if near is None:
         near = materialize(knn(points.select("space", "id", "v"), k, metric))
     core = near.filter(F.col("r") == k).select("space", F.col("i").alias("id"), F.col("d").alias("core"))
-    dense = core.filter(F.col("core") <= epsilon)
-    edges = (
-        near.filter(F.col("d") <= epsilon).select("space", "i", "j")
-        .join(dense.select("space", F.col("id").alias("i")), ["space", "i"], "left_semi")
-        .join(dense.select("space", F.col("id").alias("j")), ["space", "j"], "left_semi"))
-    roots = connected(points, edges.select("space", "i", "j"))
+    dense = points.select("space", "id", "v").join(core.filter(F.col("core") <= epsilon).select("space", "id"), ["space", "id"], "left_semi")
+    roots = connected(points, radius_forest(materialize(dense), epsilon, metric))
     sizes = roots.groupBy("space", "root").agg(F.count("*").alias("_n"))
     return roots.join(sizes, ["space", "root"]).select(
         "space", "id", F.when(F.col("_n") >= min_size, F.col("root")).otherwise(-1).alias("topic"))
