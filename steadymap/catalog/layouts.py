@@ -103,7 +103,7 @@ def neighbour_set_changes(spark, sf):
 def _register_local(name, cols):
     @query(name, _local_sql(*cols))
     def run(spark, sf):
-        return rounded(local.local_measures(_points(spark, sf)).select("space", *cols))
+        return rounded(local.local_measures(_points(spark, sf), index=Index()).select("space", *cols))
 
 
 _register_local("trustworthiness", ["trustworthiness"])

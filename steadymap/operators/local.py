@@ -14,14 +14,14 @@ def _mrre_norm(n: Column, k: int) -> Column:
 
 
 def local_measures(points: DataFrame, k: int = 7, metrics=("euclidean", "euclidean"),
-                   block_rows: int | None = None) -> DataFrame:
+                   block_rows: int | None = None, index: Index | None = None) -> DataFrame:
     """One row per space: trustworthiness, continuity, local_continuity, both MRRE values
     and, when the points carry a label, label_preservation.
 
     Space 1 (``v1``) is the original, space 2 (``v2``) the projection. Every share starts
-    from the points, so a point whose neighbours all changed still counts.
+    from the points, so a point whose neighbours all changed still counts. An ``index`` is for layouts in the plane.
     """
-    ranks = neighbour_ranks(points, k, metrics, block_rows=block_rows)
+    ranks = neighbour_ranks(points, k, metrics, block_rows=block_rows, index=index)
     r1, r2 = F.col("r1"), F.col("r2")
     near1, near2 = r1 <= k, r2 <= k
     labelled = "label" in points.columns

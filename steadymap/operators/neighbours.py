@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steadymap.functions.distance import BlockDistance, SparseBlock, count_closer, nearest, others, stack
-from steadymap.operators import pivots
+from steadymap.operators import boxes, pivots
 from steadymap.operators.blocks import pair_blocks, row_chunks
+from steadymap.operators.boxes import Boxes
 from steadymap.operators.pivots import Index
+from steadymap.session import materialize, parallelism
 
 
 def _part(block, rows: slice):
@@ -115,13 +117,57 @@ def knn(points: DataFrame, k: int = 7, metric: str = "euclidean", vector: str =
     return merged(lists, k, labelled)
 
 
+def _plane_ranks(points: DataFrame, k: int, vectors, index: Index) -> DataFrame | None:
+    """``neighbour_ranks`` of layouts in the plane: neighbours by cells, other ranks by boxes of a broadcast layout.
+
+    None where vectors are not all two finite numbers or there are too many points to broadcast.
+    """
+    fine = lambda c: (F.size(c) == 2) & F.forall(c, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    seen = points.agg(F.count("*").alias("n"), F.count_if(F.coalesce(fine(vectors[0]) & fine(vectors[1]), F.lit(False))).alias("fine")).first()
+    if not 0 < seen["n"] <= boxes.MOST_POINTS or seen["fine"] < seen["n"]:
+        return None
+    points = materialize(points.select("space", "id", *vectors, *(["label"] if "label" in points.columns else [])))
+    sides = []
+    for side, vector in enumerate(vectors, start=1):
+        near = knn(points.select("space", "id", F.col(vector).alias("v"), *points.columns[4:]), k, index=index)
+        sides.append(near.select("space", "i", "j", *[(F.col("r") if n == side else F.lit(None)).cast("long").alias(f"r{n}") for n in (1, 2)],
+                                 *near.columns[5:]))
+    label = [F.first("label_j").alias("label_j")] if "label" in points.columns else []
+    both = materialize(sides[0].unionByName(sides[1]).groupBy("space", "i", "j").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2"), *label))
+    place = lambda v: [F.col(v)[a].alias(f"{v}_{a}") for a in (0, 1)]
+    whole = points.select("space", "id", *place(vectors[0]), *place(vectors[1])).toArrow().to_pandas()
+    spaces = {s: [Boxes(g["id"].to_numpy("int64"), g[[f"{v}_0", f"{v}_1"]].to_numpy("float64")) for v in vectors]
+              for s, g in whole.groupby("space", sort=False)}
+    shared = points.sparkSession.sparkContext.broadcast(spaces)
+
+    def run(batches):
+        for pdf in batches:
+            for space, rows in pdf.groupby("space", sort=False).indices.items():
+                some = pdf.iloc[rows].reset_index(drop=True)
+                i, j = (np.searchsorted(shared.value[space][0].ids, some[c].to_numpy()) for c in ("i", "j"))
+                for n, layout in enumerate(shared.value[space], start=1):
+                    open_ = some[f"r{n}"].isna().to_numpy()
+                    rank = some[f"r{n}"].fillna(0).to_numpy("int64").copy()
+                    rank[open_] = layout.closer(i[open_], j[open_]) + 1
+                    some[f"r{n}"] = rank
+                yield some
+
+    rows = both.repartition(parallelism(points) * 4, "space", "i")
+    return rows.mapInPandas(run, both.schema)
+
+
 def neighbour_ranks(points: DataFrame, k: int = 7, metrics=("euclidean", "euclidean"),
-                    vectors=("v1", "v2"), block_rows: int | None = None) -> DataFrame:
+                    vectors=("v1", "v2"), block_rows: int | None = None, index: Index | None = None) -> DataFrame:
     """(space, i, j, r1, r2, label_j) for every j among the k nearest in either space.
 
     Ranks up to k come from the neighbour search; only the pairs missing from one side
-    are counted, in a second pass that moves one number per look-up and block.
+    are counted, in a second pass that moves one number per look-up and block. With an ``index``, euclidean layouts
+    in the plane are searched by cells and counted by boxes; the rows are the same.
     """
+    if index is not None and tuple(metrics) == ("euclidean", "euclidean"):
+        found = _plane_ranks(points, k, vectors, index)
+        if found is not None:
+            return found
     cols = list(zip(vectors, metrics))
     labelled = "label" in points.columns
     rank = lambda side: F.max(F.when(F.col("side") == side, F.col("r")))
