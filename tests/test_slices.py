@@ -40,6 +40,23 @@ def test_slices_give_the_whole_correlation(spark, monkeypatch, width, metric, di
     assert got["s"] == pytest.approx(plain(a, b, metric), abs=1e-9) and got["t"] == pytest.approx(plain(a[:60], b[:60], metric), abs=1e-12)
 
 
+def test_batches_of_spaces_leave_no_shuffle_files(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points, whole = None, {}
+    for space in "stu":
+        a = rng.normal(size=(90, 2))
+        b = a + rng.normal(size=(90, 2))
+        whole[space] = plain(a, b, "euclidean")
+        some = frame(spark, a, b, space)
+        points = some if points is None else points.unionByName(some)
+    monkeypatch.setattr(pairs, "PAIRS_AT_ONCE", 5_000)
+    monkeypatch.setattr(pairs, "share", None)  # a cached table would hold them
+    keeps, once = [], pairs._spearman_at_once
+    monkeypatch.setattr(pairs, "_spearman_at_once", lambda *a: keeps.append(a[5]) or once(*a))
+    got = {r["space"]: r["spearman"] for r in pairs.pair_spearman(points, block_rows=50).collect()}
+    assert keeps == [pairs.materialize] * 3 and got == pytest.approx(whole, abs=1e-12)
+
+
 def test_bins_too_coarse_fall_back_to_the_whole(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(150, 2)) * 1e-9
